@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import packing
+from tidewell.llm import fingerprint, packing, warc
 from tidewell.session import load
 
 
@@ -15,6 +15,19 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint.fingerprint_documents(load(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back; a row per page."""
+    index, folder = warc.write_warc(load(spark, sf_dir, "pages"))
+    return warc.read_warc(index, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens; a row per piece."""
     pieces = packing.pack(load(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
