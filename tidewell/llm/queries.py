@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewell.llm import fingerprint, packing, warc
+from tidewell.llm import chat, fingerprint, packing, topk, warc
 from tidewell.session import load
 
 
@@ -28,7 +29,23 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every vector whose id is divisible by 50."""
+    vectors = topk.quantised(load(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens; a row per piece."""
     pieces = packing.pack(load(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
     return packing.with_checksums(pieces)
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1 of control strings, formatted and read back."""
+    said = "</s>[INST] ok [/INST]"
+    extra = [(-1, 0, "user", said), (-1, 1, "assistant", said)]
+    extra = spark.createDataFrame(extra, "conv_id long, turn long, role string, text string")
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    vocabulary = vocabulary_path("byte_bpe_50k.json")
+    return chat.read_back(chat.assemble(chat.format_turns(rows, vocabulary)), vocabulary)
