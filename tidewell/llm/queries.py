@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, fingerprint, packing, topk, warc
+from tidewell.llm import chat, fingerprint, packing, simhash, topk, warc
 from tidewell.session import load
 
 
@@ -49,3 +49,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
     vocabulary = vocabulary_path("byte_bpe_50k.json")
     return chat.read_back(chat.assemble(chat.format_turns(rows, vocabulary)), vocabulary)
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their SimHash fingerprint and the group of near-duplicates."""
+    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
