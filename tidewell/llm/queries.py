@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, fingerprint, packing, simhash, topk, warc
+from tidewell.llm import chat, fingerprint, packing, simhash, substring, topk, warc
 from tidewell.session import load
 
 
@@ -16,6 +16,12 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages that an earlier document, or place, has."""
+    cut = substring.remove_repeats(load(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "text", "removed_sentences", "removed_chars")
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprint.fingerprint_documents(load(spark, sf_dir, "documents"))
