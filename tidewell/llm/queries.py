@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, fingerprint, packing, simhash, substring, topk, warc
+from tidewell.llm import chat, fingerprint, packing, simhash, substring, topk, toxicity, warc
 from tidewell.session import load
 
 
@@ -60,3 +60,19 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their SimHash fingerprint and the group of near-duplicates."""
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Chain:
+    """The chain low_quality, toxic, fitted to the labels of ``docs``."""
+    labels = load(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity.train(docs, labels, ["low_quality", "toxic"])
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the chain's probabilities and its verdict."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_chain(spark, docs, sf_dir))
+    return scored.select(
+        "doc_id", F.round("p_low_quality", 6).alias("p_low_quality"), F.round("p_toxic", 6).alias("p_toxic"),
+        (F.col("p_toxic") >= toxicity.THRESHOLD).cast("int").alias("toxic"),
+    )
