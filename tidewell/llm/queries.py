@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, fingerprint, packing, simhash, substring, topk, toxicity, warc
+from tidewell.llm import chat, fingerprint, lines, packing, simhash, substring, topk, toxicity, warc
 from tidewell.session import load
 
 
@@ -76,3 +76,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.round("p_low_quality", 6).alias("p_low_quality"), F.round("p_toxic", 6).alias("p_toxic"),
         (F.col("p_toxic") >= toxicity.THRESHOLD).cast("int").alias("toxic"),
     )
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that an earlier document, or place, has, be it
+    with slight changes."""
+    cut = lines.dedup_lines(load(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "text", "removed_lines")
