@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, fingerprint, lines, packing, simhash, substring, topk, toxicity, warc
+from tidewell.llm import chat, fingerprint, lines, packing, pieces, simhash, substring, topk, toxicity, warc
 from tidewell.session import load
 
 
@@ -27,6 +27,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(load(spark, sf_dir, "documents"))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sampled segmentations of every document, distinct, with their scores, decoded."""
+    return pieces.sample_digests(load(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back; a row per page."""
     index, folder = warc.write_warc(load(spark, sf_dir, "pages"))
