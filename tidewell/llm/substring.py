@@ -27,6 +27,7 @@ SPAN, LONGEST, LEAST_WORDS = 3, 16, 8
 WIDER, CODE = 4, 1 << 10
 #: Sentences of more than ``longest`` words end after every word whose CRC-32 this divides.
 BREAK_IN = 6
+ADDED = ("removed_sentences", "removed_chars")
 _BREAK = re.compile(r"[.!?]+[\"')\]]*\s+|\n\s*|\s+(?=[A-ZÀ-ÖØ-Þ])")
 _WORD = re.compile(r"\S+")
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
@@ -121,7 +122,7 @@ def remove_repeats(
     its first place there. A document of fewer than ``span`` sentences has no spans and stays
     as it is, as do null and empty texts. Rows that share a doc_id count as one document
     and keep their texts alike; null ids count as one smallest id. All columns of ``docs``
-    are kept, whatever their names. An empty table gives no rows.
+    are kept, whatever their names, but for those named as the added ones. An empty table gives no rows.
 
     Only (hash, id) pairs meet: the first owner of a hash is an aggregate with map-side
     combine, repeated hashes are written, and the join with them is between plain exchanges,
@@ -140,7 +141,7 @@ def remove_repeats(
     found = docs.withColumn("own id", key).join(cuts.withColumnRenamed("id", "own id"), "own id", "left")
     cut = _cutter(longest)(F.col("text").cast("string"), F.col("cuts of id"))
     return found.withColumn("cut row", cut).select(
-        *[F.col("`cut row`.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        *[F.col("`cut row`.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ADDED],
         F.col("`cut row`.removed_sentences").alias("removed_sentences"),
         F.col("`cut row`.removed_chars").alias("removed_chars"),
     )
