@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STALE_DAYS = 180
+from tidewell.functions.money import lookup
+
+#: How much a review state counts (others 1), and how far trust offsets risk.
+REVIEW_FACTORS = {"open": 1.0, "watch": 1.0, "confirmed": 1.5, "resolved": 0.0, "dismissed": 0.0}
 TRUST_SHARE = 0.6
 
 
@@ -20,8 +23,9 @@ def evidence_scores(evidence: DataFrame, keys: Sequence[str]) -> DataFrame:
     weight * (1 - 0.5^independent) * review factor, half if stale; a side's mass adds them by
     rank, each half of the one before and rounded to three decimals; the score is
     1 - e^-(risk - 0.6 * trust), not below 0."""
-    review = F.when(F.col("review") == "confirmed", 1.0).when(F.col("review") == "rejected", 0.0).otherwise(0.7)
-    worth = F.col("weight") * (1 - F.pow(F.lit(0.5), F.col("independent"))) * review
+    review = lookup(F.col("review"), REVIEW_FACTORS, F.lit(1.0))
+    strength = 1 - F.pow(F.lit(0.5), F.greatest(F.lit(1), F.floor("independent")))
+    worth = F.col("weight") * strength * review
     worth = _round3(worth * F.when(F.col("stale"), 0.5).otherwise(1.0))
     valued = evidence.withColumn("worth", worth)
     w = Window.partitionBy(*keys, "polarity").orderBy(F.desc("worth"), "reason")

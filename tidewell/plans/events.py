@@ -66,8 +66,8 @@ _R3 = "CAST(round(CAST({0} AS DECIMAL(24,12)), 3) AS DOUBLE)"
 
 @query(
     f"""WITH e AS (SELECT user_id, event_type AS reason, CASE WHEN event_type IN ('view', 'click') THEN 'risk' ELSE 'trust' END AS polarity,
-      CAST(CAST(max(value) AS DECIMAL(10,2)) AS DOUBLE) / 100 AS weight, count(*) AS independent, max(ts) < TIMESTAMP '2024-01-25' AS stale, CASE WHEN user_id % 3 = 0 THEN 'confirmed' WHEN user_id % 3 = 1 THEN 'open' ELSE 'rejected' END AS review FROM events GROUP BY ALL),
-    v AS (SELECT *, {_R3.format("weight * (1 - pow(0.5, independent)) * CASE review WHEN 'confirmed' THEN 1.0::DOUBLE WHEN 'rejected' THEN 0.0::DOUBLE ELSE 0.7::DOUBLE END * CASE WHEN stale THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END")} AS worth FROM e),
+      CAST(CAST(max(value) AS DECIMAL(10,2)) AS DOUBLE) / 100 AS weight, count(*) AS independent, max(ts) < TIMESTAMP '2024-01-25' AS stale, CASE WHEN user_id % 3 = 0 THEN 'confirmed' WHEN user_id % 3 = 1 THEN 'open' ELSE 'dismissed' END AS review FROM events GROUP BY ALL),
+    v AS (SELECT *, {_R3.format("weight * (1 - pow(0.5, independent)) * CASE review WHEN 'confirmed' THEN 1.5::DOUBLE WHEN 'dismissed' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN stale THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END")} AS worth FROM e),
     t AS (SELECT user_id, polarity, CAST({_R3.format("worth * pow(0.5::DOUBLE, row_number() OVER (PARTITION BY user_id, polarity ORDER BY worth DESC, reason) - 1)")} AS DECIMAL(20,3)) AS term FROM v),
     m AS (SELECT user_id, CAST(COALESCE(sum(term) FILTER (WHERE polarity = 'risk'), 0) AS DOUBLE) AS risk, CAST(COALESCE(sum(term) FILTER (WHERE polarity = 'trust'), 0) AS DOUBLE) AS trust FROM t GROUP BY user_id)
     SELECT user_id, CAST(CAST(risk AS DECIMAL(20,4)) AS DOUBLE) AS risk, CAST(CAST(trust AS DECIMAL(20,4)) AS DOUBLE) AS trust, CAST(CAST(1 - exp(-greatest(0, risk - 0.6::DOUBLE * trust)) AS DECIMAL(20,4)) AS DOUBLE) AS score FROM m"""
@@ -76,7 +76,7 @@ def integrity_scores(spark, sf_dir):
     """Evidence mass with terms rounded one by one, and its score."""
     events = load(spark, sf_dir, "events")
     polarity = F.when(F.col("event_type").isin("view", "click"), "risk").otherwise("trust")
-    review = F.when(F.col("user_id") % 3 == 0, "confirmed").when(F.col("user_id") % 3 == 1, "open").otherwise("rejected")
+    review = F.when(F.col("user_id") % 3 == 0, "confirmed").when(F.col("user_id") % 3 == 1, "open").otherwise("dismissed")
     e = events.groupBy("user_id", F.col("event_type").alias("reason"), polarity.alias("polarity"), review.alias("review")).agg(
         (F.max("value").cast("decimal(10,2)").cast("double") / 100).alias("weight"),
         F.count("*").alias("independent"),

@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from tidewell.plans import changes, events, listings, people, similar, stats, texts  # noqa: E402, F401
+from tidewell.plans import changes, events, identity, listings, people, similar, stats, texts  # noqa: E402, F401

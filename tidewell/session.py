@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -74,3 +75,10 @@ def remove_path(spark: SparkSession, path: str) -> None:
 def table_paths(df: DataFrame) -> list[str]:
     """Folders that hold a materialized frame's files."""
     return sorted({os.path.dirname(f) for f in df.inputFiles()})
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished queries that nothing refers to any
+    more; it does so only when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
