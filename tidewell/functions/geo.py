@@ -17,14 +17,15 @@ def cosine_distance(lat: Column, lng: Column, at_lat: float, at_lng: float) -> C
     """Great-circle distance in metres by the law of cosines, its argument clamped."""
     a, b = F.radians(lat), F.lit(math.radians(at_lat))
     c = F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(F.radians(lng) - F.lit(math.radians(at_lng)))
-    return F.lit(RADIUS_SEARCH_M) * F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), c)))
+    clamped = F.when(c > 1, 1.0).when(c < -1, -1.0).otherwise(c)  # a missing point has no distance
+    return F.lit(RADIUS_SEARCH_M) * F.acos(clamped)
 
 
 def haversine(lat: Column, lng: Column, lat2: Column, lng2: Column) -> Column:
     """Great-circle distance in metres by the haversine formula."""
     a, b = F.radians(lat), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin((F.radians(lng2) - F.radians(lng)) / 2), 2)
-    return F.lit(2 * RADIUS_SEARCH_M) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.lit(2 * RADIUS_SEARCH_M) * F.asin(F.when(h > 1, 1.0).otherwise(F.sqrt(h)))
 
 
 def bounding_box(lat: float, lng: float, radius_m: float) -> tuple[float, float, float, float, bool]:
