@@ -16,7 +16,7 @@ from tidewell.plans.texts import POINTS, points
 from tidewell.session import load
 
 _KEY = """CASE WHEN rooms IS NOT NULL AND id % 2 = 0 THEN 'cross:contact-address:' || md5(upper(country) || '|' || lower(city) || '|' || deal || '|' || ptype || '|' || '5550' || lpad(CAST(contact AS VARCHAR), 8, '0')
-  || '|' || 'street ' || lower(city) || ' ' || CAST(contact AS VARCHAR) || '|' || CAST(rooms AS VARCHAR) || '|' || CAST(CAST(area AS DECIMAL(20,1)) AS VARCHAR) || '|') ELSE source || ':' || upper(country) || ':' || CAST(id AS VARCHAR) END"""
+  || '|' || regexp_replace('street, ' || lower(city) || ' ' || CAST(contact AS VARCHAR), '[[:space:][:punct:]]+', ' ', 'g') || '|' || CAST(rooms AS VARCHAR) || '|' || CAST(CAST(area AS DECIMAL(20,1)) AS VARCHAR) || '|') ELSE source || ':' || upper(country) || ':' || CAST(id AS VARCHAR) END"""
 
 
 @query(LISTINGS + f"SELECT id, {_KEY} AS listing_key FROM listings")
