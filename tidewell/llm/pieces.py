@@ -13,6 +13,8 @@ a chain of words' lattices, and those of equal words are built once for a batch.
 from __future__ import annotations
 
 import heapq
+import math
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 SAMPLES, ALPHA, SEED = 3, 0.002, 3
-BATCH_CHARS = 1_500_000
+BATCH_CHARS = 2_500_000
 _UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _CP_BITS = np.int64(21)
 _SLOT_BITS = 20
@@ -253,7 +255,7 @@ class Lattices:
         turned = np.repeat(2 * ends - sizes - 1, sizes) - np.arange(len(back))
         return self.piece[back[turned]], back, sizes, log
 
-    def draw_other(self, word: int, taken: list[tuple[int, ...]], random: np.random.Generator) -> tuple[tuple[int, ...], float]:
+    def draw_other(self, word: int, taken: list[tuple[int, ...]], dice: random.Random) -> tuple[tuple[int, ...], float]:
         """A path (edges from the end) that isn't one of ``taken``, drawn from the rest, and its
         log-probability. At each node the mass of the taken paths that came along
         is taken off the edge that they go on by."""
@@ -270,7 +272,7 @@ class Lattices:
             total = mass.sum()
             if total <= 0:
                 return (), -np.inf
-            edge = lo + int(np.searchsorted(np.cumsum(mass), random.random() * total, side="right"))
+            edge = lo + int(np.searchsorted(np.cumsum(mass), dice.random() * total, side="right"))
             edge = min(edge, hi - 1)
             log += float(self.log_weight[edge])
             path.append(edge)
@@ -310,36 +312,56 @@ class _Text:
 
     def __init__(self, words: np.ndarray, seed: int):
         self.words, self.seed = words, seed
-        self.random = np.random.Generator(np.random.PCG64(seed))
         self.paths: list[tuple] = []  # (pieces, edges from the end, sizes, logs, perturbed)
         self.heap: list[tuple] = []
 
-    def keys(self, begin: int) -> np.ndarray:
-        at = np.arange(begin, len(self.words), dtype=np.uint64) << np.uint64(8)
-        return _mix(at + np.uint64(self.seed) + np.uint64(len(self.paths)))
-
-    def add(self, path: tuple, begin: int, taken: list[tuple[int, ...]], most: int) -> None:
-        """Takes a path that was drawn from position ``begin`` on, and pushes the siblings of
-        its words there: all other paths of that word behind the same words. At ``begin``
-        the paths in ``taken`` are used up too. At most ``most`` can still be popped."""
-        self.paths.append(path)
-        _, _, _, logs, perturbed = path
-        if begin >= len(self.words):
-            return
-        before = np.concatenate([[0.0], np.cumsum(logs[:-1])])[begin:]
-        with np.errstate(divide="ignore"):
-            rest = np.log(np.maximum(-np.expm1(logs[begin:]), 0.0))
-            if taken:
-                gone = np.exp(logs[begin]) + sum(np.exp(t) for t in taken)
-                rest[0] = np.log(max(0.0, 1.0 - gone)) if gone < 1 - 1e-12 else -np.inf
-            rest[rest < -34] = -np.inf  # less than rounding leaves of 1
-            noise = np.log(-np.log(1.0 - self.random.random(len(rest))))
-        value = -np.logaddexp(-perturbed, noise - (before + rest))
-        value[np.isneginf(rest)] = -np.inf
-        some = np.arange(len(value)) if len(value) <= most else np.argpartition(-value, most)[: most + 1]
-        for i in some.tolist():
-            if value[i] > -np.inf:
-                heapq.heappush(self.heap, (-float(value[i]), len(self.paths) - 1, begin + i))
+
+def _keys(jobs: list[_Text], begins: list[int], salt: int) -> np.ndarray:
+    """A key for every word from ``begins`` on: of the text's seed, the number of its
+    samples and the word's position."""
+    sizes = np.array([len(j.words) - b for j, b in zip(jobs, begins, strict=True)])
+    ends = np.cumsum(sizes)
+    at = np.arange(int(ends[-1])) - np.repeat(ends - sizes - np.array(begins), sizes)
+    own = np.array([j.seed + 97 * len(j.paths) + salt for j in jobs], dtype=np.uint64)
+    return _mix(_mix(np.repeat(own, sizes)) + at.astype(np.uint64))
+
+
+def _push(todo: list[tuple[_Text, int, list[float]]], most: int) -> None:
+    """Pushes the siblings of every text's last path: for each of its words from a position on,
+    all other paths of that word behind the same words; at that position some paths are taken
+    already, whose log-probabilities are given. No more than ``most`` can still be popped."""
+    todo = [t for t in todo if t[1] < len(t[0].words)]
+    if not todo:
+        return
+    jobs, begins, taken = zip(*todo, strict=True)
+    last = [j.paths[-1] for j in jobs]
+    logs = np.concatenate([p[3][b:] for p, b in zip(last, begins, strict=True)])
+    sizes = np.array([len(j.words) - b for j, b in zip(jobs, begins, strict=True)])
+    first = np.cumsum(sizes) - sizes
+    sums = np.cumsum(logs) - logs
+    base = np.array([float(p[3][:b].sum()) if b else 0.0 for p, b in zip(last, begins, strict=True)])
+    before = sums - np.repeat(sums[first] - base, sizes)
+    rest = np.maximum(-np.expm1(logs), 0.0)
+    for i, gone in zip(first.tolist(), taken, strict=True):
+        if gone:
+            left = 1.0 - float(np.exp(logs[i])) - sum(math.exp(t) for t in gone)
+            rest[i] = left if left > 1e-12 else 0.0
+    rest[rest < 1e-15] = 0.0  # less than rounding leaves of 1
+    perturbed = np.repeat(np.array([p[4] for p in last]), sizes)
+    with np.errstate(divide="ignore"):
+        noise = np.log(-np.log1p(-_uniform(_keys(list(jobs), list(begins), 41), 0)))
+        value = -np.logaddexp(-perturbed, noise - (before + np.log(rest)))
+    value[rest == 0.0] = -np.inf
+    owner = np.repeat(np.arange(len(jobs)), sizes)
+    for _ in range(most):
+        top = np.maximum.reduceat(value, first)
+        hits = np.flatnonzero(value == top[owner])
+        hits = hits[np.concatenate([[True], owner[hits[1:]] != owner[hits[:-1]]])]
+        for i, v in zip(hits.tolist(), value[hits].tolist(), strict=True):
+            if v > -np.inf:
+                j = int(owner[i])
+                heapq.heappush(jobs[j].heap, (-v, len(jobs[j].paths) - 1, begins[j] + i - int(first[j])))
+        value[hits] = -np.inf
 
 
 def _piece_slice(path: tuple, begin: int, end: int) -> np.ndarray:
@@ -361,8 +383,8 @@ def sample_texts(m: Model, texts: list[str], seeds: list[int], k: int = SAMPLES,
     def suffixes(todo: list[tuple[int, int]]) -> list[tuple]:
         """Draws the words from a position on, for several texts at once."""
         words = [jobs[j].words[b:] for j, b in todo]
-        keys = [jobs[j].keys(b) for j, b in todo]
-        pieces, back, sizes, logs = lattices.draw(np.concatenate(words), np.concatenate(keys))
+        keys = _keys([jobs[j] for j, _ in todo], [b for _, b in todo], 0)
+        pieces, back, sizes, logs = lattices.draw(np.concatenate(words), keys)
         ends = np.cumsum([len(w) for w in words])
         piece_ends = np.concatenate([[0], np.cumsum(sizes)])
         out, at = [], 0
@@ -374,9 +396,11 @@ def sample_texts(m: Model, texts: list[str], seeds: list[int], k: int = SAMPLES,
 
     live = [j for j, job in enumerate(jobs) if len(job.words)]
     if live:
-        for j, part in zip(live, suffixes([(j, 0) for j in live]), strict=True):
-            root = -float(np.log(-np.log(1.0 - jobs[j].random.random())))
-            jobs[j].add((*part, root), 0, [], k)
+        roots = _uniform(_mix(np.array([jobs[j].seed for j in live], dtype=np.uint64)), 77)
+        roots = -np.log(-np.log(np.clip(roots, 1e-300, 1 - 1e-16)))
+        for j, part, root in zip(live, suffixes([(j, 0) for j in live]), roots.tolist(), strict=True):
+            jobs[j].paths.append((*part, root))
+        _push([(jobs[j], 0, []) for j in live], k)
     for number in range(1, k):
         popped = []
         for j in live:
@@ -389,7 +413,8 @@ def sample_texts(m: Model, texts: list[str], seeds: list[int], k: int = SAMPLES,
                 key = (at, _piece_slice(old, 0, at).tobytes())
                 taken = used[j].setdefault(key, {})
                 taken[own] = float(old[3][at])
-                path, log = lattices.draw_other(int(job.words[at]), list(taken), job.random)
+                dice = random.Random(job.seed + 131 * len(job.paths))
+                path, log = lattices.draw_other(int(job.words[at]), list(taken), dice)
                 if path:
                     popped.append((j, parent, at, -value, path, log, dict(taken)))
                     taken[path] = log
@@ -397,6 +422,7 @@ def sample_texts(m: Model, texts: list[str], seeds: list[int], k: int = SAMPLES,
         rest = [(j, at + 1) for j, _, at, *_ in popped if at + 1 < len(jobs[j].words)]
         drawn = iter(suffixes(rest)) if rest else iter(())
         none = np.zeros(0, np.int64)
+        grown = []
         for j, parent, at, value, path, log, taken in popped:
             job, old = jobs[j], jobs[j].paths[parent]
             tail = next(drawn) if at + 1 < len(job.words) else (none, none, none, np.zeros(0))
@@ -409,7 +435,9 @@ def sample_texts(m: Model, texts: list[str], seeds: list[int], k: int = SAMPLES,
                 np.concatenate([old[3][:at], [log], tail[3]]),
                 value,
             )
-            job.add(new, at, list(taken.values()), k - number)
+            job.paths.append(new)
+            grown.append((job, at, list(taken.values())))
+        _push(grown, k - number)
     out = []
     for job in jobs:
         bound = -job.heap[0][0] if job.heap else -np.inf
