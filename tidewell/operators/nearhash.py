@@ -38,3 +38,16 @@ def near_pairs(rows: DataFrame, id_column: str, hash_column: str, most_bits: int
     bits = hamming(F.col(f"x.{hash_column}"), F.col(f"y.{hash_column}"))
     met = left.join(right, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), bits.alias("bits"))
     return met.where(F.col("bits") <= most_bits).distinct()
+
+
+def linked_rows(rows: DataFrame, id_column: str, class_column: str, pairs: DataFrame) -> DataFrame:
+    """(id, class_id, links) of every row: the smallest id of its class, which ``pairs`` (a, b) name, and the number of
+    other rows linked with it, those of its own class among them."""
+    classes = rows.groupBy(class_column).agg(F.min(id_column).alias("class_id"), F.count("*").alias("n"))
+    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    sizes = classes.select(F.col("class_id").alias("b"), F.col("n").alias("far"))
+    near = both.join(sizes, "b").groupBy("a").agg(F.sum("far").alias("far"))
+    linked = classes.join(near, F.col("class_id") == F.col("a"), "left")
+    linked = linked.select(F.col(class_column).alias("of"), "class_id", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
+    out = rows.join(linked, F.col(class_column).eqNullSafe(F.col("of")))
+    return out.select(F.col(id_column).alias("id"), "class_id", "links")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import jaccard, words
-from tidewell.operators.nearhash import near_pairs
+from tidewell.operators.nearhash import linked_rows, near_pairs
 from tidewell.plans.registry import query
 from tidewell.session import load
 
@@ -30,6 +30,16 @@ def hamming_band_join(spark, sf_dir):
     return near_pairs(hashed, "vec_id", "hash")
 
 
+@query()
+def hamming_band_members(spark, sf_dir):
+    """Every vector with the class of its hash (the signs of all 64 components) and its links within seven bits."""
+    x = F.col("embedding")
+    nibble = lambda i: sum(F.when(F.element_at(x, 4 * i + j + 1) > 0, 8 >> j).otherwise(0) for j in range(4))
+    signs = [F.lower(F.hex(nibble(i).cast("int"))) for i in range(16)]
+    hashed = load(spark, sf_dir, "embeddings").select("vec_id", F.concat(*signs).alias("hash"))
+    return linked_rows(hashed, "vec_id", "hash", near_pairs(hashed, "vec_id", "hash"))
+
+
 @query(
     """WITH t AS (SELECT p_name, min(p_partkey) AS id, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part GROUP BY p_name)
     SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.id < b.id
@@ -45,6 +55,12 @@ def title_jaccard_pairs(spark, sf_dir):
     return met.select("a", "b").distinct()
 
 
+@query()
+def title_jaccard_members(spark, sf_dir):
+    """Every row with the class of its title and its links, equal titles among them."""
+    return linked_rows(load(spark, sf_dir, "part"), "p_partkey", "p_name", title_jaccard_pairs(spark, sf_dir))
+
+
 _PAIRS = """WITH k AS (SELECT doc_id, source, lang, n_chars, md5(regexp_replace(lower(trim(text, E' \\t\\n\\r')), '\\s+', ' ', 'g')) AS h FROM documents),
 p AS (SELECT f.doc_id AS original, c.doc_id AS copy, f.source = c.source AS same_source, f.lang = c.lang AS same_lang, f.n_chars = c.n_chars AS same_size
   FROM k c JOIN (SELECT h, min(doc_id) AS first FROM k GROUP BY h) m USING (h) JOIN k f ON f.doc_id = m.first WHERE c.doc_id <> m.first)
