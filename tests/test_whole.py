@@ -1,5 +1,7 @@
 """Queries that answer for every row, against brute force."""
 
+import numpy as np
+
 from tidewell.plans.registry import QUERIES
 
 
@@ -17,3 +19,23 @@ def test_every_vector_has_its_links(spark, small):
     got = {r.id: (r.class_id, r.links) for r in QUERIES["hamming_band_members"](spark, small).collect()}
     least = {h: min(i for i, g in rows.items() if g == h) for h in rows.values()}
     assert got == {i: (least[h], sum((h ^ g).bit_count() <= 7 for g in rows.values()) - 1) for i, h in rows.items()}
+
+
+def test_every_point_has_a_radius(spark, small):
+    from tidewell.operators.scores import zone_radii
+    from tidewell.plans.texts import points
+
+    def way(a, b):
+        (p, q), (r, s) = np.radians(a), np.radians(b)
+        h = np.sin((r - p) / 2) ** 2 + np.cos(p) * np.cos(r) * np.sin((s - q) / 2) ** 2
+        return 2 * 6371000 * np.arcsin(np.sqrt(h))
+
+    rows = [(r.point, r.lat, r.lng) for r in points(spark, small).limit(400).collect()]
+    rows += [(-1, 10.0, 179.99), (-2, 10.0, -179.99), (-3, 89.99, 0.0), (-4, 89.99, 180.0), (-5, -40.0, 5.0), (-6, 50.0, 5.0), (-7, 50.04, 5.0)]
+    df = spark.createDataFrame([*rows, (-8, None, 5.0)], "point long, lat double, lng double")
+    got = {r.id: r.radius for r in zone_radii(df, "point").collect()}
+    want = {i: min(3000, max(300, 0.45 * min(way((a, b), (c, d)) for j, c, d in rows if j != i))) for i, a, b in rows}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 0.011 for i in want) and len(set(got.values())) > 2
+    assert zone_radii(df.where("point = -1"), "point").count() == 0
+    everyone = {r.point for r in points(spark, small).where("lat is not null and lng is not null").collect()}
+    assert {r.point for r in QUERIES["zone_radii_all"](spark, small).collect()} == everyone

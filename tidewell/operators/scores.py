@@ -87,3 +87,49 @@ def search_scores(docs: DataFrame, id_column: str, fields: dict[str, tuple[Colum
     need = share * len(dict.fromkeys(query))
     out = docs.select(F.col(id_column), matched.alias("matched"), total.alias("score"))
     return out.where((F.col("matched") >= need) & (F.col("matched") > 0))
+
+
+def zone_radii(centres: DataFrame, id_column: str, share: float = 0.45, least: float = 300.0, most: float = 3000.0) -> DataFrame:
+    """(id, radius) of every centre with ``lat`` and ``lng``: a share of the way to the nearest other one, within bounds.
+
+    Centres meet over the cells of grids in space, of doubling size, so poles and the date line need no care. Two
+    centres in a cell too small to matter have the least radius by their number alone, without a join; the
+    others look into finer cells first, and only those that find none go on to coarser ones. Beyond the size at which
+    the most radius is reached none is sought. One centre alone has no radius.
+    """
+    from tidewell.functions import geo
+    from tidewell.session import materialize
+
+    lat, lng = F.radians("lat"), F.radians("lng")
+    x, y, z = F.cos(lat) * F.cos(lng), F.cos(lat) * F.sin(lng), F.sin(lat)
+    cells = lambda size: [F.floor(c * (6371000.0 / size)).alias(n) for c, n in ((x, "cx"), (y, "cy"), (z, "cz"))]
+    every = materialize(centres.where("lat is not null and lng is not null").select(F.col(id_column).alias("id"), "lat", "lng"), "centres")
+    key = ["cx", "cy", "cz"]
+    # the longest way within a cell is its side times the root of three
+    small = least / share / 1.75
+    counted = every.select("*", *cells(small)).join(every.select(*cells(small)).groupBy(*key).agg(F.count("*").alias("n")), key)
+    counted = materialize(counted.select("id", "lat", "lng", "n"), "counted")
+    found = [counted.where("n > 1").select("id", F.lit(least).alias("radius"))]
+    left = counted.where("n = 1").select("id", "lat", "lng")
+    far, size = most / share, least / share
+    steps = F.sequence(F.lit(-1), F.lit(1))
+    while True:
+        size = min(size, far)
+        asked = left.select("*", *cells(size))
+        for c in key:
+            asked = asked.withColumn("step", F.explode(steps)).withColumn(c, F.col(c) + F.col("step")).drop("step")
+        others = every.select(F.col("id").alias("other"), F.col("lat").alias("olat"), F.col("lng").alias("olng"), *cells(size))
+        d = geo.haversine(F.col("lat"), F.col("lng"), F.col("olat"), F.col("olng"))
+        near = asked.join(others, key).where(F.col("id") != F.col("other")).groupBy("id").agg(F.min(d).alias("d"))
+        near = materialize(near.where(F.col("d") <= size), "near")
+        found.append(near.select("id", F.least(F.lit(most), F.greatest(F.lit(least), share * F.col("d"))).alias("radius")))
+        left = materialize(left.join(near, "id", "left_anti"), "alone")
+        if size >= far:
+            break
+        size *= 2
+    if every.limit(2).count() > 1:
+        found.append(left.select("id", F.lit(most).alias("radius")))
+    out = found[0]
+    for rows in found[1:]:
+        out = out.unionByName(rows)
+    return out.select("id", F.col("radius").cast("decimal(20,2)").cast("double").alias("radius"))

@@ -162,6 +162,14 @@ def zone_radii(spark, sf_dir):
     return near.select("point", radius.cast("decimal(20,2)").cast("double").alias("radius"))
 
 
+@query()
+def zone_radii_all(spark, sf_dir):
+    """Radii of zones around all points, against all others; see ``scores.zone_radii``."""
+    from tidewell.operators.scores import zone_radii as radii
+
+    return radii(points(spark, sf_dir), "point").withColumnRenamed("id", "point")
+
+
 @query(
     POINTS
     + """, b AS (SELECT point, fmod(degrees(atan2(sin(radians(lng) - radians(30.7::DOUBLE)) * cos(radians(lat)), cos(radians(46.4::DOUBLE)) * sin(radians(lat)) - sin(radians(46.4::DOUBLE)) * cos(radians(lat)) * cos(radians(lng) - radians(30.7::DOUBLE)))) + 360, 360) AS angle FROM p)
