@@ -39,3 +39,13 @@ def test_every_point_has_a_radius(spark, small):
     assert zone_radii(df.where("point = -1"), "point").count() == 0
     everyone = {r.point for r in points(spark, small).where("lat is not null and lng is not null").collect()}
     assert {r.point for r in QUERIES["zone_radii_all"](spark, small).collect()} == everyone
+
+
+def test_all_words_of_an_item_are_searched(spark, small):
+    import re
+
+    words = lambda t: {w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w}
+    docs = {r.doc_id: words(r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    got = sorted((r.item_id, r.doc_id) for r in QUERIES["fulltext_all_words"](spark, small).collect())
+    assert got == sorted((i, d) for i, q in items.items() for d, w in docs.items() if q and q <= w)

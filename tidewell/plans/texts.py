@@ -28,8 +28,19 @@ def text_search_rank(spark, sf_dir):
 
 @query(f"SELECT b.item_id, d.doc_id FROM (SELECT item_id, {_WORDS.format('text')}[1:3] AS q FROM benchmark) b JOIN (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents) d ON list_has_all(d.w, b.q)")
 def fulltext_all_terms(spark, sf_dir):
-    """Documents that hold all of a query's words: met over the words of an inverted index."""
-    q = load(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.slice(words(F.col("text")), 1, 3)).alias("q"))
+    """Documents that hold all of a query's words: met over the words of an inverted index. Queries are the first three
+    words of each item; ``fulltext_all_words`` takes all."""
+    return _with_all_terms(spark, sf_dir, F.slice(words(F.col("text")), 1, 3))
+
+
+@query()
+def fulltext_all_words(spark, sf_dir):
+    """Documents that hold all distinct words of an item."""
+    return _with_all_terms(spark, sf_dir, words(F.col("text")))
+
+
+def _with_all_terms(spark, sf_dir, asked):
+    q = load(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(asked).alias("q"))
     terms = q.select("item_id", F.size("q").alias("need"), F.explode("q").alias("t"))
     index = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("t"))
     met = index.join(terms, "t").groupBy("item_id", "doc_id", "need").agg(F.count("*").alias("n"))
