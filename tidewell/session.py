@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -72,13 +71,26 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def table_paths(df: DataFrame) -> list[str]:
-    """Folders that hold a materialized frame's files."""
-    return sorted({os.path.dirname(f) for f in df.inputFiles()})
+class Scratch:
+    """Written tables that one call needs. ``drop`` deletes some of them, ``clear`` the rest; both
+    are called when all that was computed from them has been written."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished queries that nothing refers to any
-    more; it does so only when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def put(self, df: DataFrame, label: str) -> DataFrame:
+        """``df``, written and read back (see ``materialize``)."""
+        path = shared_path(self.spark, label)
+        df.write.option("compression", "zstd").parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((table, path))
+        return table
+
+    def drop(self, *frames: DataFrame) -> None:
+        for frame, path in [t for t in self.tables if any(t[0] is f for f in frames)]:
+            remove_path(self.spark, path)
+            self.tables.remove((frame, path))
+
+    def clear(self) -> None:
+        self.drop(*[t[0] for t in self.tables])
