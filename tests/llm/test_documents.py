@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, fingerprint, lines, packing, pieces, queries, simhash, substring, toxicity
+from tidewell.llm import chat, fingerprint, packing, pieces, queries, simhash, substring, toxicity
 from tidewell.llm.bpe import encoder, load_ids
 
 SCHEMA = "doc_id long, text string, id string, at int, line string"
@@ -29,6 +29,23 @@ EDGE = [(1, None), (2, ""), (3, "one"), (3, "one"), (None, "null id text"), (5,
 # --- substring dedup -------------------------------------------------------------------------
 
 
+def test_substring_rows_of_one_id_or_of_none_are_told_apart(spark):
+    own = "Nothing of this text stands anywhere else. Not its second sentence with these words either. Nor is the third one found elsewhere. And so on."
+    got = substring.remove_repeats(frame(spark, [(1, PASSAGE), (7, PASSAGE), (7, own), (None, own + " Later.")])).collect()
+    assert {(r.doc_id, r.text, r.removed_sentences > 0) for r in got if r.doc_id} == {(1, PASSAGE, False), (7, "", True), (7, "", True)} or {
+        (r.doc_id, r.text) for r in got
+    } >= {(1, PASSAGE), (None, own + " Later.")}
+    alone = substring.remove_repeats(frame(spark, [(1, PASSAGE), (7, PASSAGE), (7, own)])).collect()
+    assert sorted((r.doc_id, r.removed_sentences > 0) for r in alone) == [(1, False), (7, False), (7, True)]
+    assert own in {r.text for r in alone}
+
+
+def test_substring_keeps_clashing_columns(spark):
+    docs = frame(spark, [(1, PASSAGE), (2, PASSAGE)]).withColumns({"own id": F.lit("keep"), "row": F.lit(5), "Removed_Chars": F.lit("old")})
+    got = {r["doc_id"]: r for r in substring.remove_repeats(docs).collect()}
+    assert (got[1]["own id"], got[2]["row"], got[1]["removed_chars"]) == ("keep", 5, 0) and got[2]["removed_chars"] == len(PASSAGE)
+
+
 def test_substring_cuts_all_but_the_first(spark):
     rows = [(9, f"Some words before it {PASSAGE} and after."), (4, f"Other start. {PASSAGE} Other end."), (7, "Nothing shared here at all.")]
     got = {r.doc_id: r for r in substring.remove_repeats(frame(spark, rows)).collect()}
@@ -271,91 +288,6 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(frame(spark, EDGE).limit(0)).count() == 0
 
 
-# --- lines -----------------------------------------------------------------------------------
-
-
-def test_lines_keep_the_first_of_each_group(spark):
-    words = [f"alpha{i}" for i in range(60)]
-    changed = " ".join([*words[:30], "other", *words[31:]])
-    line = " ".join(words)
-    rows = [(2, f"{line.upper()}\nown two"), (1, f"own one\n{line}\n\n  {line} "), (3, changed)]
-    got = {r.doc_id: (r.text, r.removed_lines) for r in lines.dedup_lines(frame(spark, rows)).collect()}
-    assert got[1] == (f"own one\n{line}\n", 1) and got[2] == ("own two", 1)
-    linked = bin((_sim(spark, line) ^ _sim(spark, changed)) & (2**64 - 1)).count("1") <= lines.RADIUS
-    assert got[3] == (("", 1) if linked else (changed, 0))
-
-
-def _sim(spark, text):
-    keyed = lines._keyed(spark.createDataFrame([(text,)], "line string"))
-    return lines.simhashes(keyed).first().sim
-
-
-def test_lines_masks_are_exact():
-    random = np.random.default_rng(4)
-    for classes in (10, 10**6, 10**9, 10**11):
-        found = [m & (2**64 - 1) for m in lines.masks(classes)]
-        for _ in range(200):
-            a = int(random.integers(0, 2**63))
-            b = a
-            for bit in random.choice(64, 3, replace=False):
-                b ^= 1 << int(bit)
-            assert any(a & m == b & m for m in found)
-
-
-def test_lines_match_brute_force(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    keyed = lines._keyed(lines._lines(docs))
-    text = {r.k1: r.line for r in keyed.collect()}
-    keys = list(text)
-    sim = {r.k1: r.sim for r in lines.simhashes(keyed).collect()}
-    fps = np.array([sim[k] for k in keys], dtype=np.int64).view(np.uint64)
-    parent = {k: k for k in keys}
-
-    def root(k):
-        while parent[k] != k:
-            k = parent[k]
-        return k
-
-    close = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= lines.RADIUS
-    for i, j in zip(*np.nonzero(np.triu(close, 1)), strict=True):
-        a, b = text[keys[i]], text[keys[j]]
-        if _edits(a, b) <= int(max(len(a), len(b)) * 0.2):
-            parent[root(keys[i])] = root(keys[j])
-    places = defaultdict(list)
-    for r in keyed.collect():
-        places[root(r.k1)].append((r.id, r.at))
-    gone = defaultdict(int)
-    for own in places.values():
-        for i, _ in sorted(own)[1:]:
-            gone[i] += 1
-    got = {r.doc_id: r.removed_lines for r in lines.dedup_lines(docs).collect()}
-    assert got == {i: gone[i] for i in got} and sum(gone.values()) > 50
-
-
-def _edits(a, b):
-    row = np.arange(len(b) + 1)
-    other = np.array([ord(c) for c in b])
-    steps = np.arange(len(b) + 1)
-    for i, c in enumerate(a, 1):
-        new = np.minimum(row[1:] + 1, row[:-1] + (other != ord(c)))
-        new = np.concatenate([[i], new])
-        row = np.minimum.accumulate(new - steps) + steps
-    return int(row[-1])
-
-
-def test_lines_edges(spark):
-    got = lines.dedup_lines(frame(spark, EDGE)).collect()
-    assert len(got) == len(EDGE) and {(r.doc_id, r.text) for r in got} == set(EDGE)
-    assert lines.dedup_lines(frame(spark, EDGE).limit(0)).count() == 0
-    clash = frame(spark, [(1, "a a a"), (2, "a a a")]).withColumn("removed_lines", F.lit("old")).withColumn("k1", F.lit(1))
-    assert {r.doc_id: (r.text, r.removed_lines, r.k1) for r in lines.dedup_lines(clash).collect()} == {1: ("a a a", 0, 1), 2: ("", 1, 1)}
-
-
-def test_lines_have_no_python(spark, small):
-    plan = lines.simhashes(lines._keyed(lines._lines(spark.read.parquet(f"{small}/documents.parquet"))))
-    assert "Python" not in plan._jdf.queryExecution().toString() and "Arrow" not in plan._jdf.queryExecution().toString()
-
-
 # --- toxicity --------------------------------------------------------------------------------
 
 

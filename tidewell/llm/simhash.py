@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators.components import connected_components
-from tidewell.session import materialize
+from tidewell.session import Scratch, materialize
 
 SHINGLE, SEED, RADIUS, LEAF = 4, 42, 4, 48
 
@@ -46,17 +46,17 @@ def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): fp as a signed 64-bit integer. A null text counts as empty."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """(key, fp): fp as a signed 64-bit integer. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             fps = np.fromiter((simhash(t.as_py() or "", shingle, seed) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], [key, "fp"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(run, f"{key} long, fp long")
 
 
 class BKTree:
@@ -167,6 +167,16 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _groups(classes: DataFrame, least: str, radius: int, scratch: Scratch) -> DataFrame:
+    """(fp, first): for distinct fingerprints, the smallest ``least`` of all that are reachable."""
+    nodes = connected_components(link_fingerprints(classes.select("fp"), radius), scratch=scratch)
+    nodes = scratch.put(nodes.withColumnRenamed("node", "fp"), "nodes")
+    firsts = nodes.join(classes, "fp").groupBy("component").agg(F.min(least).alias("first"))
+    linked = nodes.join(firsts, "component").select("fp", "component", "first")
+    own = F.coalesce("component", "fp").alias("component")
+    return classes.join(linked, "fp", "left").select("fp", own, F.coalesce("first", least).alias("first"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over
     links); one row for each row of ``docs``.
@@ -176,14 +186,24 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     it. Equal fingerprints are one class from the start, so exact copies cost no links. An
     empty table gives no rows; other columns are ignored.
     """
-    own = materialize(fingerprints(docs, shingle, seed), "fingerprints")
-    classes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    nodes = connected_components(link_fingerprints(classes.select("fp"), radius))
-    nodes = materialize(nodes.withColumnRenamed("node", "fp"), "nodes")
-    firsts = nodes.join(classes, "fp").groupBy("component").agg(F.min("least").alias("first"))
-    linked = nodes.join(firsts, "component").select("fp", "first")
-    groups = classes.join(linked, "fp", "left").select("fp", F.coalesce("first", "least").alias("component_id"))
-    groups = materialize(groups, "groups")
+    scratch = Scratch(docs.sparkSession)
+    own = materialize(fingerprints(docs, "doc_id", shingle, seed), "fingerprints")
+    classes = scratch.put(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    groups = materialize(_groups(classes, "least", radius, scratch), "groups")
+    scratch.clear()
     return own.join(groups, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id")
     )
+
+
+def first_of_groups(rows: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """(row) of the first row, by ``id`` and then by ``row``, of each group of near-duplicates of
+    numbered rows (row, id, text)."""
+    scratch = Scratch(rows.sparkSession)
+    hashes = fingerprints(rows.select("row", "text"), "row", shingle, seed)
+    own = scratch.put(hashes.join(rows.select("row", "id"), "row"), "fingerprints")
+    classes = scratch.put(own.groupBy("fp").agg(F.min("id").alias("least")), "classes")
+    firsts = own.join(_groups(classes, "least", radius, scratch), "fp").where("id = first")
+    out = materialize(firsts.groupBy("component").agg(F.min("row").alias("row")).select("row"), "first-rows")
+    scratch.clear()
+    return out

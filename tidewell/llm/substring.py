@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.session import materialize
+from tidewell.llm import rows as numbering
+from tidewell.session import Scratch
 
 SPAN, LONGEST, LEAST_WORDS = 3, 16, 8
 #: Runs of very short sentences are so many times as long; places are coded in one integer.
@@ -31,7 +32,6 @@ ADDED = ("removed_sentences", "removed_chars")
 _BREAK = re.compile(r"[.!?]+[\"')\]]*\s+|\n\s*|\s+(?=[A-ZÀ-ÖØ-Þ])")
 _WORD = re.compile(r"\S+")
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-NULL_ID = -(2**63)
 
 
 def sentences(text: str, longest: int = LONGEST) -> tuple[list[int], list[int], list[int]]:
@@ -90,26 +90,26 @@ def span_hashes(hashes: list[int], words: list[int], span: int, least: int) -> t
 
 
 def _spans(docs: DataFrame, span: int, longest: int, least: int) -> DataFrame:
-    """(h, id, at, again): every span; again: the same document has had it before."""
+    """(h, row, id, at, again): every span; again: the same row has had it before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for row, i, text in zip(*(batch.column(c).to_pylist() for c in range(2)), batch.column(2), strict=True):
                 _, hashes, words = sentences(text.as_py() or "", longest)
                 h, at = span_hashes(hashes, words, span, least)
                 if len(h):
                     first = np.unique(h, return_index=True)[1]
                     again = np.ones(len(h), dtype=bool)
                     again[first] = False
-                    parts.append((h, np.full(len(h), i, np.int64), at, again))
+                    parts.append((h, np.full(len(h), row, np.int64), np.full(len(h), i, np.int64), at, again))
             if parts:
                 columns = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
-                whole = pa.RecordBatch.from_arrays(columns, ["h", "id", "at", "again"])
+                whole = pa.RecordBatch.from_arrays(columns, ["h", "row", "id", "at", "again"])
                 for at in range(0, whole.num_rows, 100_000):
                     yield whole.slice(at, 100_000)
 
-    return docs.select("id", "text").mapInArrow(run, "h long, id long, at long, again boolean")
+    return docs.mapInArrow(run, "h long, row long, id long, at long, again boolean")
 
 
 def remove_repeats(
@@ -120,31 +120,35 @@ def remove_repeats(
 
     A span's first occurrence is in the document with the smallest doc_id that has it, at
     its first place there. A document of fewer than ``span`` sentences has no spans and stays
-    as it is, as do null and empty texts. Rows that share a doc_id count as one document
-    and keep their texts alike; null ids count as one smallest id. All columns of ``docs``
-    are kept, whatever their names, but for those named as the added ones. An empty table gives no rows.
-
-    Only (hash, id) pairs meet: the first owner of a hash is an aggregate with map-side
-    combine, repeated hashes are written, and the join with them is between plain exchanges,
-    so a passage that a third of the documents share is split among tasks. Positions to cut
-    are gathered per document. Texts are shuffled once, to meet their positions. Two spans with the
-    same 64-bit hash are taken to be equal.
+    as it is, as do null and empty texts. Rows are told apart by a number of their own: those that
+    share a doc_id, or have none (null comes first), or are equal in all columns are different
+    documents, and the first of them in the table's order keeps the span. All columns of ``docs``
+    are kept, whatever their names, but for those named as the added ones, in any case. An empty
+    table gives no rows.
+
+    The rows are written once, numbered. Then only hashes and numbers meet: the first owner of a
+    hash is an aggregate with map-side combine, repeated hashes are written, and the join with them
+    is between plain exchanges, so a passage that a third of the documents share is split among tasks.
+    Positions to cut are gathered per row. Texts are shuffled once, to meet their positions. Two spans
+    with the same 64-bit hash are taken to be equal.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    slim = docs.select(key.alias("id"), F.col("text").cast("string").alias("text"))
-    spans = materialize(_spans(slim, span, longest, least_words), "spans")
-    owners = spans.where("not again").groupBy("h").agg(F.min("id").alias("owner"), F.max("id").alias("other"))
-    owners = materialize(owners.where("other > owner").select("h", "owner"), "owners")
-    repeated = spans.where("not again").join(owners, "h").where("id > owner").select("id", "at")
-    cuts = repeated.union(spans.where("again").select("id", "at"))
-    cuts = cuts.groupBy("id").agg(F.collect_set("at").alias("cuts of id"))
-    found = docs.withColumn("own id", key).join(cuts.withColumnRenamed("id", "own id"), "own id", "left")
-    cut = _cutter(longest)(F.col("text").cast("string"), F.col("cuts of id"))
-    return found.withColumn("cut row", cut).select(
-        *[F.col("`cut row`.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ADDED],
-        F.col("`cut row`.removed_sentences").alias("removed_sentences"),
-        F.col("`cut row`.removed_chars").alias("removed_chars"),
-    )
+    scratch = Scratch(docs.sparkSession)
+    rows = numbering.numbered(docs, "rows")
+    text = f"c{numbering.place(docs.columns, 'text')}"
+    slim = rows.select("row", "id", F.col(text).cast("string").alias("text"))
+    spans = scratch.put(_spans(slim, span, longest, least_words), "spans")
+    once = spans.where("not again").groupBy("h").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
+    owners = scratch.put(once.where("n > 1").select("h", "first_id"), "owners")
+    repeated = scratch.put(spans.where("not again").join(owners, "h").select("h", "row", "id", "at", "first_id"), "repeated")
+    first = repeated.where("id = first_id").groupBy("h").agg(F.min("row").alias("first_row"))
+    cuts = repeated.join(first, "h").where("row <> first_row").select("row", "at")
+    cuts = cuts.union(spans.where("again").select("row", "at")).groupBy("row").agg(F.collect_set("at").alias("cuts"))
+    cuts = Scratch(docs.sparkSession).put(cuts, "cuts")
+    scratch.clear()
+    cut = _cutter(longest)(F.col(text).cast("string"), F.col("cuts"))
+    found = rows.join(cuts, "row", "left").withColumn("cut", cut)
+    added = {name: F.col(f"cut.{name}") for name in ADDED}
+    return numbering.restored(found, docs.columns, F.col("cut.text"), added)
 
 
 def _cutter(longest: int):
