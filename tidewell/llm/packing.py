@@ -111,13 +111,13 @@ def pack(
             tails = []
 
         for batch in batches:
-            docs_of, texts, groups_of = (batch.column(i).to_pylist() for i in range(3))
-            for doc, text, own in zip(docs_of, texts, groups_of, strict=True):
+            docs_of, groups_of = (batch.column(i).to_pylist() for i in (0, 2))
+            for doc, text, own in zip(docs_of, batch.column(1), groups_of, strict=True):
                 if own != group or len(tails) >= 2 * group_docs:
                     flush()
                     if own != group:
                         group, opened = own, 0
-                ids = encode(text or "") + end
+                ids = encode(text.as_py() or "") + end
                 total = len(ids) // 4
                 whole = total - total % length
                 for start in range(0, whole, length):

@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -93,7 +92,7 @@ def _spans(docs: DataFrame, span: int, longest: int, least: int) -> DataFrame:
     """(h, row, id, at, again): every span; again: the same row has had it before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             parts = []
             for row, i, text in zip(*(batch.column(c).to_pylist() for c in range(2)), batch.column(2), strict=True):
                 _, hashes, words = sentences(text.as_py() or "", longest)
@@ -152,10 +151,12 @@ def remove_repeats(
 
 
 def _cutter(longest: int):
-    @F.pandas_udf("text string, removed_sentences long, removed_chars long")
-    def cut(text: pd.Series, cuts: pd.Series) -> pd.DataFrame:
-        rows = [_cut(t, c, longest) for t, c in zip(text, cuts, strict=True)]
-        return pd.DataFrame(rows, columns=["text", "removed_sentences", "removed_chars"])
+    kind = pa.struct([("text", pa.string()), ("removed_sentences", pa.int64()), ("removed_chars", pa.int64())])
+
+    @F.arrow_udf("text string, removed_sentences long, removed_chars long")
+    def cut(texts: pa.Array, cuts: pa.Array) -> pa.Array:
+        rows = (dict(zip([f.name for f in kind], _cut(t.as_py(), c.as_py(), longest), strict=True)) for t, c in zip(texts, cuts, strict=True))
+        return pa.array(rows, kind, size=len(texts))
 
     return cut
 

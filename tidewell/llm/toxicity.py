@@ -16,11 +16,11 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.rows import place
 from tidewell.session import materialize
 
 #: Bounds of what reaches the driver: labelled rows that are fitted, features of a category.
@@ -220,17 +220,20 @@ def train(
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """``docs`` with a column ``p_<category>`` for each category. A null or empty text has the
     probability that the intercepts give. Runs where the rows lie, without a shuffle; only
-    the text goes to Python."""
+    the text goes to Python. All other columns are kept, whatever their names, but for those named
+    as the added ones, in any case."""
     names = [f"p_{c}" for c in chain.categories]
     spec = chain.to_json()
 
-    @F.pandas_udf(", ".join(f"`{n}` double" for n in names))
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("array<double>")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Chain.from_json(spec)
-        for texts in batches:
-            yield pd.DataFrame([own.predict(t or "") for t in texts], columns=names)
-
-    scored = docs.withColumn("own scores", predict(F.col("text").cast("string")))
-    return scored.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in names], *[F.col(f"`own scores`.`{n}`").alias(n) for n in names]
-    )
+        for texts in batches:  # one text at a time, so that a batch isn't held twice
+            yield pa.array((own.predict(t.as_py() or "") for t in texts), pa.list_(pa.float64()), size=len(texts))
+
+    columns = docs.columns
+    kept = [i for i, c in enumerate(columns) if c.lower() not in {n.lower() for n in names}]
+    moved = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    moved = moved.withColumn("scores", predict(F.col(f"c{place(columns, 'text')}").cast("string")))
+    out = moved.select(*[f"c{i}" for i in kept], *[F.col("scores")[j].alias(f"p{j}") for j in range(len(names))])
+    return out.toDF(*[columns[i] for i in kept], *names)
