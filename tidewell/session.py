@@ -26,6 +26,14 @@ def get_spark(app: str = "tidewell", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows from now on, where the session leaves Spark's default:
+    texts of a few kilobytes make its 10,000 rows tens of megabytes, held by each side of each task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The table as a DataFrame; Spark prunes columns and pushes filters into the scan."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
