@@ -48,6 +48,30 @@ def annual_usd(amount: Column, period: Column, hours: int = 2080, days: int = 26
     return F.when(amount > 0, amount * times)
 
 
+#: Currencies whose yearly figures are taken as such, and what a salary can be.
+HARD_CURRENCIES = ("USD", "EUR", "GBP", "CAD", "AUD", "CHF", "PLN", "JPY")
+HOURS_PER_YEAR, MONTHS_PER_YEAR = 12 * 160, 12
+LEAST_ANNUAL, MOST_ANNUAL, MOST_MONTHLY, MOST_HOURLY, LEAST_HOURLY = 500, 1_000_000, 80_000, 500, 8
+HOURLY_AS_YEARLY, LOCAL_MONTHLY_AS_YEARLY = 400, 5_000
+
+
+def plausible_annual_usd(amount: Column, period: Column, currency: Column) -> Column:
+    """struct(usd, period): the salary by the year in whole dollars and the period it was taken for. An amount
+    too high for its month or hour is a year's; a year's too low is an hour's wage in a hard currency and a month's in
+    another. Null where the amount isn't positive or the year's pay isn't plausible."""
+    hard = F.upper(currency).isin(*HARD_CURRENCIES)
+    used = (
+        F.when((period == "month") & (amount > MOST_MONTHLY), "year")
+        .when((period == "hour") & (amount > MOST_HOURLY), "year")
+        .when((period == "year") & hard & (amount < LEAST_HOURLY), F.lit(None))
+        .when((period == "year") & hard & (amount < HOURLY_AS_YEARLY), "hour")
+        .when((period == "year") & ~F.coalesce(hard, F.lit(False)) & (amount < LOCAL_MONTHLY_AS_YEARLY), "month")
+        .otherwise(period)
+    )
+    usd = F.floor(amount * lookup(used, {"hour": HOURS_PER_YEAR, "month": MONTHS_PER_YEAR, "year": 1}) + 0.5).cast("long")
+    return F.when((amount > 0) & usd.between(LEAST_ANNUAL, MOST_ANNUAL), F.struct(usd.alias("usd"), used.alias("period")))
+
+
 def repair_action(price: Column, currency: Column, country: Column, deal: Column) -> Column:
     """What a price repair would do: keep, clear (not a price), currency (a
     hryvnia amount that is only plausible as dollars) or report."""
