@@ -6,7 +6,9 @@ from tidewell.functions.money import plausible_annual_usd
 from tidewell.operators import feeds
 from tidewell.plans.feeds import vacancies
 
-NOW = F.lit("1998-06-01 00:00:00").cast("timestamp_ntz")
+
+def now():
+    return F.lit("1998-06-01 00:00:00").cast("timestamp_ntz")
 
 
 def test_pages_follow_one_another(spark, small):
@@ -22,8 +24,8 @@ def test_pages_follow_one_another(spark, small):
 def test_remote_vacancies_of_excluded_countries_stay(spark):
     row = "true AS active, timestamp_ntz'1998-05-30' AS posted_at, 'RU' AS country, null AS risk_category"
     rows = spark.sql(f"SELECT 1 AS id, true AS remote, {row} UNION ALL SELECT 2, false, {row}")
-    assert [r.id for r in rows.where(feeds.JobFilter().where(NOW)).collect()] == [1]
-    assert rows.where(feeds.JobFilter(include_ru=True).where(NOW)).count() == 2
+    assert [r.id for r in rows.where(feeds.JobFilter().where(now())).collect()] == [1]
+    assert rows.where(feeds.JobFilter(include_ru=True).where(now())).count() == 2
 
 
 def test_periods_that_cannot_be_meant(spark):
