@@ -117,3 +117,9 @@ def test_pipeline_drops_what_it_should(spark, small):
 
 def test_registry_has_every_operator():
     assert {name.split("_")[0] for name in registry.QUERIES} == {f"op{i}" for i in range(1, 11)}
+
+
+def test_topk_of_vectors_of_several_lengths(spark):
+    rows = spark.createDataFrame([(0, [1, 2]), (1, [3, 1]), (2, [1, 1, 1]), (50, [2, 0, 1]), (4, [9])], "vec_id long, v array<long>")
+    got = topk.top_k(rows, rows.where("vec_id % 50 = 0")).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == {(0, 1, 1, 5), (50, 1, 2, 3)}

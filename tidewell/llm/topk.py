@@ -80,8 +80,8 @@ def quantised(rows: DataFrame, id_column: str = "vec_id", vector: str = "embeddi
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, block: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products, ties to smaller ids.
 
-    Both sides are (vec_id, v) with whole numbers; a query's own id is no candidate. All
-    vectors have the queries' length. Fewer than k candidates are all returned; repeated
+    Both sides are (vec_id, v) with whole numbers; a query's own id is no candidate, nor is
+    a vector of another length. Fewer than k candidates are all returned; repeated
     ids count as different rows of the one id; an empty side gives no rows.
 
     Equal vectors are first brought together, with their k + 1 smallest ids (found
@@ -104,14 +104,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
 
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
-        if len(q) and len(c):
-            width = len(q["v"].iloc[0])
-            c = c[c["v"].map(len) == width]
-        if len(q) and len(c):
-            ids = c["ids"].tolist()
-            lists = SortedLists(np.stack(c["v"].tolist()), np.array([i[0] for i in ids]))
+        widths = q["v"].map(len)
+        for width in widths.unique():
+            asked, some = q[widths == width], c[c["v"].map(len) == width]
+            if not len(some):
+                continue
+            ids = some["ids"].tolist()
+            lists = SortedLists(np.stack(some["v"].tolist()), np.array([i[0] for i in ids]))
             place = {i[0]: i for i in ids}
-            for query, v in zip(q["vec_id"].tolist(), q["v"].tolist(), strict=True):
+            for query, v in zip(asked["vec_id"].tolist(), asked["v"].tolist(), strict=True):
                 at, scores, _ = lists.search(np.asarray(v, dtype=np.float64), k + 1)
                 for p, s in zip(at.tolist(), scores.tolist(), strict=True):
                     found += [(query, i, int(s)) for i in place[int(lists.ids[p])] if i != query]
