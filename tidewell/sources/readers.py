@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,13 +60,16 @@ def registry_csv(spark: SparkSession, path: str, aliases: dict[str, list[str]])
 
 
 def crawl_pages(fetch: Callable[[int], list[tuple]], first: int = 0, most: int = 1000) -> Iterator[tuple[int, list[tuple]]]:
-    """Pages from ``first`` on until one is empty or repeats what came before; (page, items)."""
+    """Pages from ``first`` on until one is empty or repeats what came before; (page, items).
+    A crawl that would go on after ``most`` pages is an error, so none ends early unnoticed."""
     seen: set = set()
-    for page in range(first, first + most):
+    for page in count(first):
         items = fetch(page)
         mark = tuple(i[0] for i in items)
         if not items or mark in seen:
             return
+        if page - first >= most:
+            raise RuntimeError(f"more than {most} pages")
         seen.add(mark)
         yield page, items
 
