@@ -5,10 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from tidewell.functions.text import squeezed
 
@@ -53,16 +51,19 @@ def cursor_scope(filters: dict) -> str:
     return hashlib.sha256(json.dumps(filters, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
-@F.pandas_udf(LongType())
-def fnv1a_bucket(keys: pd.Series) -> pd.Series:
-    """FNV-1a (64 bits) of UTF-8, modulo 100: a stable split."""
+def fnv1a_bucket(key: Column | str) -> Column:
+    """FNV-1a (64 bits) of UTF-8, modulo 100: a stable split. The hash goes in two halves of 32
+    bits; its prime is 2^40 + 435."""
+    digits = F.hex(F.encode(F.col(key) if isinstance(key, str) else key, "UTF-8"))
+    places = F.when(F.length(digits) > 0, F.sequence(F.lit(1), F.length(digits), F.lit(2))).otherwise(F.array().cast("array<int>"))
+    halves = F.struct(F.lit(0xCBF29CE4).cast("long").alias("high"), F.lit(0x84222325).cast("long").alias("low"))
+    mask = F.lit(0xFFFFFFFF).cast("long")
 
-    def one(key: str | None) -> int | None:
-        if key is None:
-            return None
-        h = 0xCBF29CE484222325
-        for byte in key.encode():
-            h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-        return h % 100
+    def step(h: Column, at: Column) -> Column:
+        low = h["low"].bitwiseXOR(F.conv(F.substr(digits, at, F.lit(2)), 16, 10).cast("long"))
+        product = low * 435
+        high = h["high"] * 435 + F.shiftright(product, 32) + F.shiftleft(low, 8)
+        return F.struct(high.bitwiseAND(mask).alias("high"), product.bitwiseAND(mask).alias("low"))
 
-    return keys.map(one)
+    bucket = F.aggregate(places, halves, step, lambda h: (h["high"] * (2**32 % 100) + h["low"]) % 100)
+    return F.when(digits.isNotNull(), bucket)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import events as E
+from tidewell.operators.rules import spaced_chains
 from tidewell.operators.scores import evidence_scores
 from tidewell.plans.registry import query
 from tidewell.plans.tables import d4
@@ -140,9 +141,12 @@ def scan_reconciliation(spark, sf_dir):
     return d.select("source", "day", verdict.alias("verdict"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE t AS (SELECT DISTINCT user_id, ts FROM events),
+    w AS (SELECT user_id, ts, max(ts) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 6 HOUR PRECEDING) AS before FROM t), nxt AS (SELECT * FROM w WHERE before IS NOT NULL),
+    c AS (SELECT user_id, max(ts) AS ts, 1::BIGINT AS n FROM t GROUP BY user_id UNION ALL SELECT c.user_id, nxt.before, c.n + 1 FROM c JOIN nxt ON c.user_id = nxt.user_id AND c.ts = nxt.ts)
+    SELECT user_id, max(n) AS streak FROM c GROUP BY user_id"""
+)
 def spaced_streaks(spark, sf_dir):
-    """Greedy chain of times at least six hours apart, newest first, by user; the fold has no
-    twin in SQL. A user's times of one day are bounded by grouping on the day."""
-    rows = load(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_set("ts").alias("times"))
-    return rows.select("user_id", "day", E.spaced_streak(F.col("times")).alias("streak"))
+    """Greedy chain of a user's times at least six hours apart, newest first, over all days."""
+    return spaced_chains(load(spark, sf_dir, "events"), "user_id", "ts", 6)

@@ -92,9 +92,13 @@ def pii_redact(spark, sf_dir):
     return docs.select("doc_id", F.md5("clean").alias("redacted_md5"), (F.col("clean") != F.col("text")).alias("touched"))
 
 
-@query()
+@query(
+    """WITH b AS (SELECT doc_id, list_transform(range(1, 2 * octet_length(encode(CAST(doc_id AS VARCHAR))), 2), lambda i: CAST('0x' || substr(hex(encode(CAST(doc_id AS VARCHAR))), CAST(i AS INTEGER), 2) AS HUGEINT)) AS bytes FROM documents),
+    h AS (SELECT doc_id, CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, bytes), lambda h, x: (h - h % 256 + CAST(xor(CAST(h % 256 AS BIGINT), CAST(x AS BIGINT)) AS HUGEINT)) * 1099511628211::HUGEINT % 18446744073709551616::HUGEINT) % 100 AS BIGINT) AS bucket FROM b)
+    SELECT doc_id, bucket, CASE WHEN bucket < 80 THEN 'train' WHEN bucket < 90 THEN 'validation' ELSE 'test' END AS split FROM h"""
+)
 def stable_split(spark, sf_dir):
-    """Train, validation and test by FNV-1a of the id; the hash has no twin in SQL."""
+    """Train, validation and test by FNV-1a of the id."""
     bucket = fnv1a_bucket(F.col("doc_id").cast("string"))
     docs = load(spark, sf_dir, "documents").select("doc_id", bucket.alias("bucket"))
     split = F.when(F.col("bucket") < 80, "train").when(F.col("bucket") < 90, "validation").otherwise("test")
