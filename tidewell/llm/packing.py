@@ -21,6 +21,8 @@ from tidewell.llm.bpe import encoder
 LENGTH = 2048
 END_ID = 1
 GROUP_DOCS = 4096
+#: Each group has a task of its own up to so many; beyond, tasks take as many groups each, one after another.
+MOST_TASKS = 100_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -84,13 +86,11 @@ def pack(
     within the group, so no group is held whole. ``sequence_id`` is the group in its
     upper bits and the sequence's number there in the lower 32.
     """
-    spark = docs.sparkSession
     groups = max(1, -(-docs.count() // group_docs))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     dealt = (
         docs.select("doc_id", F.col("text").cast("string").alias("text"))
         .withColumn("grp", F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(groups)))
-        .repartition(min(groups, parts) if groups > 1 else 1, "grp")
+        .repartitionById(min(groups, MOST_TASKS), F.col("grp").cast("int"))
         .sortWithinPartitions("grp", "doc_id", F.xxhash64("text"))
     )
 
