@@ -59,7 +59,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame(extra, "conv_id long, turn long, role string, text string")
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
     vocabulary = vocabulary_path("byte_bpe_50k.json")
-    return chat.read_back(chat.assemble(chat.format_turns(rows, vocabulary)), vocabulary)
+    read = chat.read_back(chat.assemble(chat.format_turns(rows, vocabulary)), vocabulary)
+    return read.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
