@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.keys import fnv1a_bucket
 from tidewell.operators import rules
+from tidewell.operators.changes import upsert
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -89,3 +90,11 @@ def test_lookup_by_either_column(spark):
     rows = spark.createDataFrame([(1, "u1"), (2, "u2"), (3, "1"), (4, None)], "id long, url string")
     wanted = spark.createDataFrame([("1",), ("u2",), ("4",)], "value string")
     assert {r.id for r in rules.lookup(rows, wanted, ["id", "url"]).collect()} == {1, 2, 3, 4}
+
+
+def test_upsert_of_rows_with_null_keys(spark):
+    schema = "a string, b int, v int"
+    old = spark.createDataFrame([(None, 1, 5), ("x", None, 6), ("y", 1, 7)], schema)
+    new = spark.createDataFrame([(None, 1, 8), ("x", None, 6), (None, 2, 9)], schema)
+    got = {(r.a, r.b, r.v, r.change) for r in upsert(old, new, ["a", "b"], ["v"]).collect()}
+    assert got == {(None, 1, 8, "updated"), ("x", None, 6, "same"), ("y", 1, 7, "kept"), (None, 2, 9, "inserted")}

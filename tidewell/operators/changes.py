@@ -17,10 +17,9 @@ def last_per_key(batch: DataFrame, keys: Sequence[str], order: str) -> DataFrame
 def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str], values: Sequence[str], never_back: Sequence[str] = ()) -> DataFrame:
     """Full outer merge: values of the batch win where they aren't null, columns in
     ``never_back`` keep the greater one; ``change`` says inserted, updated, same or kept."""
-    old, new = current.alias("o"), batch.alias("n")
+    old, new = current.withColumn("is_there", F.lit(True)).alias("o"), batch.withColumn("is_there", F.lit(True)).alias("n")
     joined = old.join(new, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full_outer")
-    has_old = F.coalesce(*[F.col(f"o.{k}").isNotNull() for k in keys])
-    has_new = F.coalesce(*[F.col(f"n.{k}").isNotNull() for k in keys])
+    has_old, has_new = F.col("o.is_there").isNotNull(), F.col("n.is_there").isNotNull()
     differs = F.lit(False)
     for v in values:
         differs = differs | (F.col(f"n.{v}").isNotNull() & ~F.col(f"o.{v}").eqNullSafe(F.col(f"n.{v}")))
