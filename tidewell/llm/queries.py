@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, fingerprint, lines, packing, pieces, simhash, substring, topk, toxicity, warc
+from tidewell.llm import chat, fingerprint, lines, packing, pieces, pii, simhash, substring, topk, toxicity, warc
 from tidewell.session import load
 
 
@@ -89,3 +89,8 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     with slight changes."""
     cut = lines.dedup_lines(load(spark, sf_dir, "documents"))
     return cut.select("doc_id", "text", "removed_lines")
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.find(load(spark, sf_dir, "documents"))
