@@ -276,14 +276,14 @@ def fit(found: DataFrame) -> dict[str, Model]:
 
 
 def select(found: DataFrame, models: dict[str, Model]) -> DataFrame:
-    """(doc_id, base_<kind>, more_<kind>): of the candidates that no certain span meets those at or above their kind's
-    threshold; of selected candidates that meet each other, the one of the kind that is listed first."""
+    """(doc_id, base_<kind>, more_<kind>): of the candidates that no certain span meets, and whose format is valid (a domain that
+    ends in letters, parts of at most 255, Luhn, 9 to 15 digits), those at or above their kind's threshold; of selected candidates that meet each other, the one of the kind that is listed first."""
     rows = found.withColumn("taken", F.array_sort(F.concat(*[f"base_{k}" for k in KINDS])))
     for kind in KINDS:
         m = models[kind]
         rows = _met(rows, f"cand_{kind}", "taken", "met")
         free = F.filter(F.zip_with(f"cand_{kind}", "met", lambda c, b: F.struct(c.alias("c"), b.alias("b"))), lambda r: ~r["b"])
-        chosen = F.filter(free, lambda r: m.probability(lambda f: r["c"][f]) >= m.threshold) if m.trees else F.slice(free, 1, 0)
+        chosen = F.filter(free, lambda r: (r["c"]["valid"] == 1) & (m.probability(lambda f: r["c"][f]) >= m.threshold)) if m.trees else F.slice(free, 1, 0)
         rows = rows.withColumn(f"more_{kind}", F.transform(chosen, lambda r: F.struct(r["c"]["start"].alias("start"), r["c"]["stop"].alias("stop"))).cast(_SPAN))
         rows = rows.withColumn("taken", F.concat("taken", f"more_{kind}"))
     return rows.select("doc_id", *[f"base_{k}" for k in KINDS], *[f"more_{k}" for k in KINDS])
