@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, fingerprint, lines, packing, pieces, pii, simhash, substring, topk, toxicity, warc
+from tidewell.llm import chat, fingerprint, lines, packing, pieces, pii, repair, simhash, substring, topk, toxicity, warc, whitening
 from tidewell.session import load
 
 
@@ -94,3 +94,13 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     return pii.find(load(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of all embeddings."""
+    return whitening.whiten(load(spark, sf_dir, "embeddings"))
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged as the contract says and repaired."""
+    return repair.repair(load(spark, sf_dir, "conversations"))
