@@ -10,7 +10,10 @@ from tidewell.operators import listing as L
 from tidewell.operators.scores import market_comparison as compare
 from tidewell.plans.registry import query
 from tidewell.plans.tables import LISTINGS, d4, listings
-from tidewell.session import load
+from tidewell.operators import statistics
+from tidewell.operators.quantiles import percentiles
+from tidewell.plans.feeds import VACANCIES, vacancies
+from tidewell.session import Scratch, load
 
 _BOUNDS = " ".join(f"WHEN '{d}' THEN price_usd BETWEEN {lo} AND {hi}" for d, (lo, hi) in PLAUSIBLE_USD.items())
 PRICED = LISTINGS + f", priced AS (SELECT *, CASE WHEN CASE deal {_BOUNDS} END THEN price_usd END AS usd FROM winners)\n"
@@ -52,9 +55,9 @@ def stats_totals(spark, sf_dir):
 )
 def stats_deal_types(spark, sf_dir):
     """Count, median and outer percentiles by deal."""
-    out = priced(spark, sf_dir).groupBy("deal").agg(
-        F.count("*").alias("n"), F.percentile("usd", F.array(F.lit(0.5), F.lit(0.02), F.lit(0.98))).alias("p")
-    )
+    scratch = Scratch(spark)
+    rows = scratch.put(priced(spark, sf_dir).select("deal", "usd"), "prices")
+    out = rows.groupBy("deal").agg(F.count("*").alias("n")).join(percentiles(rows, ["deal"], "usd", [0.5, 0.02, 0.98], scratch), "deal", "left")
     out = out.select("deal", "n", *[F.col("p")[i].alias(c) for i, c in enumerate(("median", "p02", "p98"))])
     return out.select("deal", "n", d4("median"), d4("p02"), d4("p98"))
 
@@ -70,8 +73,9 @@ _BAND = "CASE " + " ".join(f"WHEN r {'<=' if n == 'pink' else '<'} {t} THEN '{n}
 )
 def stats_price_bands(spark, sf_dir):
     """Rows by the band of their price against the group's median (aggregate, then join)."""
-    rows = priced(spark, sf_dir).where("usd IS NOT NULL").select("deal", "city", "usd")
-    medians = rows.groupBy("deal", "city").agg(F.percentile("usd", F.lit(0.5)).alias("median"))
+    scratch = Scratch(spark)
+    rows = scratch.put(priced(spark, sf_dir).where("usd IS NOT NULL").select("deal", "city", "usd"), "prices")
+    medians = percentiles(rows, ["deal", "city"], "usd", [0.5], scratch).select("deal", "city", F.col("p")[0].alias("median"))
     banded = rows.join(medians, ["deal", "city"]).select("deal", band(F.col("usd") / F.col("median")).alias("band"))
     return banded.groupBy("deal", "band").agg(F.count("*").alias("n"))
 
@@ -87,9 +91,10 @@ def stats_price_bands(spark, sf_dir):
 )
 def stats_histogram_dense(spark, sf_dir):
     """24 price buckets for each deal, empty ones included, the top value clamped."""
-    rows = priced(spark, sf_dir).where("usd IS NOT NULL").select("deal", "usd")
-    bounds = rows.groupBy("deal").agg(F.percentile("usd", F.array(F.lit(0.02), F.lit(0.98))).alias("p"), F.count("*").alias("c"))
-    bounds = bounds.where("c >= 8").select("deal", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi")).where("hi > lo")
+    scratch = Scratch(spark)
+    rows = scratch.put(priced(spark, sf_dir).where("usd IS NOT NULL").select("deal", "usd"), "prices")
+    bounds = percentiles(rows, ["deal"], "usd", [0.02, 0.98], scratch)
+    bounds = bounds.where("values >= 8").select("deal", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi")).where("hi > lo")
     at = F.least(F.lit(24), F.floor((F.col("usd") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 24) + 1)
     filled = rows.join(bounds, "deal").where("usd BETWEEN lo AND hi").groupBy("deal", at.alias("bucket")).agg(F.count("*").alias("n"))
     dense = bounds.select("deal", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(24).cast("long"))).alias("bucket"))
@@ -180,3 +185,100 @@ def price_range_only(spark, sf_dir):
     return L.public(listings(spark, sf_dir)).agg(
         F.floor(F.min(usd) * 40).alias("lowest"), F.ceil(F.max(usd) * 40).alias("highest")
     )
+
+
+_ROUNDED = ("median", "average", "lowest", "highest")
+
+
+def _figures(rows):
+    """Rounded by the same operations on doubles as ``_e``, so ties fall alike."""
+    return rows.select(*[((F.floor(F.col(c) * 10000 + 0.5)) / 10000).alias(c) if c in _ROUNDED else F.col(c) for c in statistics.COLUMNS])
+
+
+def _e(sql: str) -> str:
+    return f"floor(({sql}) * 10000 + 0.5) / 10000"
+
+
+_DK = "CASE WHEN room_only THEN 'roomRent' WHEN deal IN ('sale', 'longRent', 'shortRent') THEN deal ELSE 'unknown' END"
+_NO = "CAST(NULL AS DOUBLE)"
+_SIX = f"CAST(NULL AS BIGINT) AS priced, {_NO} AS median, {_NO} AS average, {_NO} AS lowest, {_NO} AS highest"
+_PRICES = f"count(*) AS n, count(usd) AS priced, {_e('quantile_cont(usd, 0.5)')} AS median, {_e('avg(usd)')} AS average, {_e('min(usd)')} AS lowest, {_e('max(usd)')} AS highest"
+
+
+def _counters(section, table, **counts):
+    sums = ", ".join(f"{sql} AS {name}" for name, sql in counts.items())
+    return f"SELECT '{section}' AS section, NULL AS deal, NULL AS dimension, label, n, {_SIX} FROM (UNPIVOT (SELECT {sums} FROM {table}) ON {', '.join(counts)} INTO NAME label VALUE n)"
+
+
+_SNAPSHOT = (
+    LISTINGS
+    + f""", m AS (SELECT *, row_number() OVER (PARTITION BY dkey ORDER BY created_at DESC NULLS LAST, id DESC) = 1 AS shown, {_DK} AS dk, ptype AS district,
+    CASE WHEN id % 3 = 0 THEN source ELSE ' ' END AS metro, CASE id % 4 WHEN 0 THEN 3.0 WHEN 1 THEN 0.0 END AS pct FROM public),
+  v AS (SELECT *, CASE WHEN CASE dk {_BOUNDS} END THEN price_usd END AS usd FROM m WHERE shown),
+  g AS (SELECT dk AS deal, dimension, label, usd FROM v CROSS JOIN LATERAL (VALUES ('country', country), ('city', city), ('district', district), ('metro', nullif(trim(metro), ''))) x(dimension, label)
+    WHERE label IS NOT NULL),
+  places AS (SELECT deal, dimension, label, {_PRICES} FROM g GROUP BY ALL UNION ALL SELECT NULL, dimension, label, {_PRICES} FROM g GROUP BY ALL),
+  b AS (SELECT dk AS deal, quantile_cont(usd, 0.5) AS mid, quantile_cont(usd, 0.02) AS lo, quantile_cont(usd, 0.98) AS hi, count(usd) AS c FROM v GROUP BY ALL),
+  r AS (SELECT b.deal AS deal, usd, usd / mid AS r, lo, hi, c FROM v JOIN b ON dk = b.deal WHERE usd IS NOT NULL),
+  h AS (SELECT deal, least(24, CAST(floor((usd - lo) / (hi - lo) * 24) AS INTEGER) + 1) AS bucket, count(*) AS n FROM r WHERE c >= 8 AND hi > lo AND usd BETWEEN lo AND hi GROUP BY ALL)
+"""
+    + _counters("total", "v", total="count(*)", owners="count(*) FILTER (WHERE NOT by_agency)", agencies="count(*) FILTER (WHERE by_agency)",
+                commission="count(*) FILTER (WHERE commission OR pct > 0)", no_commission="count(*) FILTER (WHERE NOT commission OR pct = 0)")
+    + " UNION ALL " + _counters("quality", "m", raw_total="count(*)", duplicates_rejected="count(*) FILTER (WHERE NOT shown)")
+    + f""" UNION ALL SELECT 'deal', dk, NULL, dk, {_PRICES} FROM v GROUP BY dk
+  UNION ALL SELECT 'place', deal, dimension, label, n, priced, median, average, lowest, highest FROM places
+    QUALIFY row_number() OVER (PARTITION BY deal, dimension ORDER BY n DESC, label) <= CASE WHEN dimension IN ('district', 'microdistrict', 'metro') THEN 60 ELSE 12 END
+  UNION ALL SELECT 'band', deal, NULL, {_BAND} AS label, count(*), {_SIX} FROM r WHERE usd > 0 GROUP BY ALL
+  UNION ALL SELECT 'histogram', b.deal, NULL, CAST(g AS VARCHAR), COALESCE(h.n, 0), NULL, NULL, NULL, {_e("lo + (g - 1) * (hi - lo) / 24")}, {_e("lo + g * (hi - lo) / 24")}
+    FROM b CROSS JOIN generate_series(1, 24) t(g) LEFT JOIN h ON h.deal = b.deal AND h.bucket = g WHERE c >= 8 AND hi > lo
+  UNION ALL SELECT 'activity', NULL, NULL, strftime(COALESCE(first_seen, created_at), '%Y-%m-%d'), count(*), {_SIX} FROM v WHERE COALESCE(first_seen, created_at) IS NOT NULL GROUP BY ALL"""
+)
+
+
+@query(_SNAPSHOT)
+def stats_snapshot(spark, sf_dir):
+    """The whole statistics snapshot of the feed, all parts from one written base."""
+    rows = L.public(listings(spark, sf_dir))
+    newest = Window.partitionBy("dkey").orderBy(F.desc_nulls_last("created_at"), F.desc("id"))
+    k = F.col("id") % 4
+    rows = rows.withColumns({
+        "shown": F.row_number().over(newest) == 1, "district": F.col("ptype"), "metro": F.when(F.col("id") % 3 == 0, F.col("source")).otherwise(" "),
+        "commission_percent": F.when(k == 0, 3.0).when(k == 1, 0.0), "usd": plausible(F.col("price_usd"), statistics.deal_key(F.col("deal"), F.col("room_only"))),
+    })
+    return _figures(statistics.listing_snapshot(rows, F.col("shown"), Scratch(spark)))
+
+
+_MED = "COALESCE(quantile_cont(salary_usd, 0.5), 0)"
+_PAID = f"count(*) AS n, count(salary_usd) AS priced, {_e(_MED)} AS median"
+_FRESH = "COALESCE(no_experience, false)"
+
+
+@query(
+    VACANCIES
+    + f""", f AS (SELECT *, split_part(title, ' ', 1) AS profession, COALESCE(country, 'OTHER') AS land, list_filter(language_keys, lambda l: NOT contains(l, ':')) AS languages FROM vacancies WHERE active),
+  g AS (SELECT profession, 'profession_country' AS dimension, land AS label, salary_usd FROM f UNION ALL SELECT profession, 'profession_city', city, salary_usd FROM f WHERE city <> ''),
+  t AS (SELECT profession AS label, count(*) AS n, count(salary_usd) AS priced, {_MED} AS mid, quantile_cont(years, 0.5) AS y FROM f GROUP BY ALL ORDER BY n DESC, priced DESC, label LIMIT 20),
+  p AS (SELECT profession, dimension, label, count(*) AS n, count(salary_usd) AS priced, {_MED} AS mid FROM g GROUP BY ALL),
+  c AS (SELECT unnest([{{'d': 'work_mode', 'l': COALESCE(work_mode, 'unknown')}}, {{'d': 'relocation', 'l': COALESCE(relocation, 'unknown')}}, {{'d': 'employment_kind', 'l': COALESCE(employment_kind, 'unknown')}}]) AS x FROM f
+    UNION ALL SELECT unnest(list_transform(languages, lambda l: {{'d': 'language', 'l': l}})) FROM f UNION ALL SELECT unnest(list_transform(skills, lambda l: {{'d': 'skill', 'l': l}})) FROM f),
+  s AS (SELECT x.d AS dimension, x.l AS label, count(*) AS n FROM c GROUP BY ALL)
+SELECT 'salary' AS section, CAST(NULL AS VARCHAR) AS deal, CAST(NULL AS VARCHAR) AS dimension, 'all' AS label, {_PAID}, {_e("COALESCE(avg(salary_usd), 0)")} AS average, {_e("COALESCE(min(salary_usd), 0)")} AS lowest, {_e("COALESCE(max(salary_usd), 0)")} AS highest FROM f
+UNION ALL SELECT 'group', NULL, 'source', source, {_PAID}, NULL, NULL, NULL FROM f GROUP BY source
+UNION ALL SELECT 'group', NULL, 'country', land, {_PAID}, NULL, NULL, NULL FROM f GROUP BY land
+UNION ALL SELECT 'profession', NULL, NULL, label, n, priced, {_e("mid")}, {_e("y")}, NULL, NULL FROM t
+UNION ALL SELECT 'place', profession, dimension, label, n, priced, {_e("mid")}, NULL, NULL, NULL FROM (SELECT * FROM p WHERE priced > 0 AND profession IN (SELECT label FROM t)
+  QUALIFY row_number() OVER (PARTITION BY profession ORDER BY n DESC, priced DESC, mid DESC, dimension, label) <= 6)
+UNION ALL """
+    + _counters("experience", "f", known="count(years)", none=f"count(*) FILTER (WHERE {_FRESH} OR years = 0)", up_to_one=f"count(*) FILTER (WHERE NOT {_FRESH} AND years > 0 AND years <= 1)",
+                one_to_three=f"count(*) FILTER (WHERE NOT {_FRESH} AND years > 1 AND years <= 3)", three_to_five="count(*) FILTER (WHERE years > 3 AND years <= 5)",
+                five_plus="count(*) FILTER (WHERE years > 5)", unknown="count(*) FILTER (WHERE years IS NULL)", foreigner_friendly="count(*) FILTER (WHERE foreigner_friendly)")
+    + f""" UNION ALL SELECT 'experience', NULL, NULL, 'median', NULL, NULL, {_e("quantile_cont(years, 0.5)")}, NULL, NULL, NULL FROM f WHERE years IS NOT NULL
+UNION ALL SELECT 'tag', NULL, dimension, label, n, {_SIX} FROM (SELECT * FROM s QUALIFY dimension <> 'skill' OR row_number() OVER (PARTITION BY dimension ORDER BY n DESC, label) <= 20)
+UNION ALL SELECT 'trend', profession, strftime(posted_at, '%Y-%m-%d %H:%M:%S'), title, NULL, NULL, NULL, NULL, {_e("salary_usd")}, NULL FROM (SELECT * FROM (SELECT * FROM f WHERE salary_usd IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY CAST(posted_at AS DATE), COALESCE(country, ''), profession ORDER BY posted_at DESC, title, salary_usd) <= 3) ORDER BY posted_at DESC, title, salary_usd, country, profession LIMIT 1500)"""
+)
+def vacancy_snapshot(spark, sf_dir):
+    """The whole vacancy statistics: medians of all groups by one selection from one written base."""
+    rows = vacancies(spark, sf_dir).where("active").withColumn("profession", F.split_part("title", F.lit(" "), F.lit(1)))
+    rows = rows.withColumn("languages", F.filter("language_keys", lambda x: ~F.contains(x, F.lit(":"))))
+    return _figures(statistics.vacancy_snapshot(rows, Scratch(spark)))
