@@ -185,3 +185,53 @@ def rank_list_join(spark, sf_dir):
     before = bucketed.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = hits.join(before, "r").withColumn("rank", F.row_number().over(Window.partitionBy("r").orderBy("id")) + F.col("before"))
     return L.public(rows).select("id").join(ranked.select("id", "rank"), "id")
+
+
+_CHANGED = """, changed AS (SELECT * REPLACE (CASE WHEN id % 11 = 3 THEN md5('moved' || CAST(contact AS VARCHAR)) ELSE dkey END AS dkey,
+    CASE WHEN id % 11 = 5 THEN created_at + INTERVAL 3 DAY ELSE created_at END AS created_at) FROM public WHERE id % 11 NOT IN (7, 9) OR contact % 2 = 0)"""
+
+
+def changes_to_listings(rows):
+    """A batch of changes by rule: a new key, a later time, or gone; and rows that stay as they are."""
+    k = F.col("id") % 11
+    moved = rows.where(k.isin(3, 4, 5) | (k.isin(7, 9) & (F.col("contact") % 2 != 0)))
+    return moved.withColumns({
+        "dkey": F.when(k == 3, F.md5(F.concat(F.lit("moved"), F.col("contact").cast("string")))).otherwise(F.col("dkey")),
+        "created_at": F.when(k == 5, F.col("created_at") + F.expr("INTERVAL 3 DAYS")).otherwise(F.col("created_at")),
+        "gone": k.isin(7, 9),
+    })
+
+
+def kept_feed(spark, sf_dir):
+    """The feed's kept winners after two batches, the second of which is a repetition."""
+    from tidewell.operators.readmodel import KeptWinners
+    from tidewell.session import shared_path
+
+    rows = L.public(listings(spark, sf_dir))
+    table = KeptWinners(shared_path(spark, "feed"), parts=16)
+    table.create(rows)
+    changes = changes_to_listings(rows)
+    table.apply(changes.where("id % 2 = 0"))
+    table.apply(changes)
+    return table
+
+
+@query(
+    LISTINGS
+    + _CHANGED
+    + "SELECT id, dkey, created_at FROM changed QUALIFY row_number() OVER (PARTITION BY dkey ORDER BY created_at DESC NULLS LAST, id DESC) = 1"
+)
+def kept_winners(spark, sf_dir):
+    """Winners of the kept table after batches of changes: those of a full recount."""
+    return kept_feed(spark, sf_dir).winners(spark).select("id", "dkey", "created_at")
+
+
+@query(
+    LISTINGS
+    + _CHANGED
+    + f"""SELECT {_SHOWN}, created_at FROM (SELECT * FROM changed QUALIFY row_number() OVER (PARTITION BY dkey ORDER BY created_at DESC NULLS LAST, id DESC) = 1)
+    ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 60"""
+)
+def kept_feed_page(spark, sf_dir):
+    """The feed's first page, read from the kept winners without any election; the limit is the page."""
+    return L.page(kept_feed(spark, sf_dir).winners(spark), "newest", 60).select(*SHOWN, "created_at")
