@@ -15,13 +15,13 @@ MOST_VALUES = 100_000
 STEPS, SPLIT = 64, 1024
 
 
-def _bucket(v: Column) -> Column:
+def bucket(v: Column) -> Column:
     """A whole number that never falls as ``v`` rises: at most 275,000 of them, for all doubles."""
     level = F.floor(F.least(F.log2(F.abs(v)), F.lit(1100.0)) * STEPS).cast("int") + 100_000
     return F.when(v > 0, level).when(v < 0, -level).otherwise(0)
 
 
-def _holding(cells: DataFrame, group: Sequence[str], order: str) -> DataFrame:
+def holding(cells: DataFrame, group: Sequence[str], order: str) -> DataFrame:
     """``cells`` with ``before``: how many values of the group stand in cells before this one."""
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return cells.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
@@ -41,8 +41,8 @@ def percentiles(rows: DataFrame, keys: Sequence[str], value: str, shares: Sequen
     Bounds and ranks (a few rows a group) are written to ``scratch``."""
     keys = list(keys)
     held = rows.select(*keys, F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    cells = held.groupBy(*keys, _bucket(F.col("v")).alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    cells = _holding(cells, keys, "b").withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
+    cells = held.groupBy(*keys, bucket(F.col("v")).alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    cells = holding(cells, keys, "b").withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
     places = [F.lit(s) * (F.col("n") - 1) for s in shares]
     ranks = F.array(*[F.struct(F.lit(2 * i + up).alias("i"), (F.ceil(p) if up else F.floor(p)).cast("long").alias("rank")) for i, p in enumerate(places) for up in (0, 1)])
     inside = lambda r: (r["rank"] >= F.col("before")) & (r["rank"] < F.col("before") + F.col("c"))
@@ -57,7 +57,7 @@ def percentiles(rows: DataFrame, keys: Sequence[str], value: str, shares: Sequen
         part = F.floor((F.col("r.v") / 2 - F.col("t.lo") / 2) / width * SPLIT)
         group = [*keys, "n", "i", "rank"]
         split = met.select(*[F.col(f"t.{g}").alias(g) for g in group], "r.v", part.alias("b")).groupBy(*group, "b")
-        split = _holding(split.agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")), group, "b").where("rank >= before AND rank < before + c")
+        split = holding(split.agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")), group, "b").where("rank >= before AND rank < before + c")
         split = split.select(*keys, "n", "i", (F.col("rank") - F.col("before")).alias("rank"), "c", "lo", "hi")
         last, found = found, scratch.put(found.where(~large).unionByName(split), "ranks")
         scratch.drop(last)
@@ -66,8 +66,9 @@ def percentiles(rows: DataFrame, keys: Sequence[str], value: str, shares: Sequen
     met = held.alias("r").join(few.alias("t"), [*_same("r", "t", keys), F.col("r.v") >= F.col("t.lo"), F.col("r.v") <= F.col("t.hi")])
     group = [*keys, "n", "i", "rank"]
     counted = met.groupBy(*[F.col(f"t.{g}").alias(g) for g in group], F.col("r.v").alias("v")).agg(F.count("*").alias("c"))
-    sorted_ = _holding(counted, group, "v").where("rank >= before AND rank < before + c").select(*keys, "n", "i", "v")
+    sorted_ = holding(counted, group, "v").where("rank >= before AND rank < before + c").select(*keys, "n", "i", "v")
     at = lambda j: F.max(F.when(F.col("i") == j, F.col("v")))
     ends = single.unionByName(sorted_).groupBy(*keys, "n").agg(*[at(j).alias(f"v{j}") for j in range(2 * len(shares))])
-    mixed = [F.col(f"v{2 * i}") + (F.col(f"v{2 * i + 1}") - F.col(f"v{2 * i}")) * (p - F.floor(p)) for i, p in enumerate(places)]
+    after = [p - F.floor(p) for p in places]
+    mixed = [F.col(f"v{2 * i}") * (1 - d) + F.col(f"v{2 * i + 1}") * d for i, d in enumerate(after)]
     return ends.select(*keys, F.col("n").alias("values"), F.array(*mixed).alias("p"))

@@ -10,7 +10,7 @@ from tidewell.operators import listing as L
 from tidewell.operators.scores import market_comparison as compare
 from tidewell.plans.registry import query
 from tidewell.plans.tables import LISTINGS, d4, listings
-from tidewell.operators import statistics
+from tidewell.operators import market, statistics
 from tidewell.operators.quantiles import percentiles
 from tidewell.plans.feeds import VACANCIES, vacancies
 from tidewell.session import Scratch, load
@@ -282,3 +282,32 @@ def vacancy_snapshot(spark, sf_dir):
     rows = vacancies(spark, sf_dir).where("active").withColumn("profession", F.split_part("title", F.lit(" "), F.lit(1)))
     rows = rows.withColumn("languages", F.filter("language_keys", lambda x: ~F.contains(x, F.lit(":"))))
     return _figures(statistics.vacancy_snapshot(rows, Scratch(spark)))
+
+
+_SEG = "c.country = t.country AND lower(c.city) = lower(t.city) AND c.ptype = t.ptype AND c.dk = t.dk AND (t.district IS NULL OR c.district = t.district)"
+_NEAR = "c.area BETWEEN t.area - greatest(5, t.area * 0.15) AND t.area + greatest(5, t.area * 0.15)"
+
+
+@query(
+    LISTINGS
+    + f""", m AS (SELECT id, dkey, country, city, ptype, {_DK} AS dk, CASE WHEN contact % 3 > 0 THEN 'd' || CAST(contact % 2 AS VARCHAR) END AS district, rooms,
+    CASE WHEN id % 9 > 0 THEN area + (id % 5) * 0.5 END AS area, price_usd AS usd, created_at, COALESCE(created_at, first_seen) >= TIMESTAMP '1996-01-01' AS fresh FROM public),
+  p AS (SELECT * FROM m WHERE usd IS NOT NULL), s AS (SELECT DISTINCT country, city, ptype, dk, district, rooms, CASE WHEN rooms IS NULL THEN area END AS area FROM p WHERE rooms IS NOT NULL OR area IS NOT NULL),
+  met AS (SELECT t.*, c.dkey, c.usd, c.created_at, c.id FROM s t JOIN p c ON c.fresh AND {_SEG} AND t.rooms IS NOT NULL AND c.rooms = t.rooms
+    UNION ALL SELECT t.*, c.dkey, c.usd, c.created_at, c.id FROM s t JOIN p c ON c.fresh AND {_SEG} AND t.rooms IS NULL AND {_NEAR}),
+  one AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY country, city, ptype, dk, district, rooms, area, dkey ORDER BY created_at DESC NULLS LAST, id DESC) = 1),
+  g AS (SELECT country, city, ptype, dk, district, rooms, area, count(*) AS n, floor(quantile_cont(usd, 0.5) * 100 + 0.5) / 100 AS mid FROM one GROUP BY ALL),
+  r AS (SELECT p.id, p.usd, p.rooms, COALESCE(g.n, 0) AS n, CASE WHEN g.n >= 3 THEN mid END AS median FROM p LEFT JOIN g ON p.country = g.country AND p.city = g.city AND p.ptype = g.ptype AND p.dk = g.dk
+    AND p.district IS NOT DISTINCT FROM g.district AND p.rooms IS NOT DISTINCT FROM g.rooms AND CASE WHEN p.rooms IS NULL THEN p.area END IS NOT DISTINCT FROM g.area WHERE p.rooms IS NOT NULL OR p.area IS NOT NULL)
+SELECT id, CASE WHEN rooms IS NULL THEN 'area' ELSE 'rooms' END AS segment_kind, n AS comparables, median, usd / median AS ratio, COALESCE(usd / median < 1, false) AS good_price FROM r"""
+)
+def market_segments(spark, sf_dir):
+    """Every listing against the median of its segment: by rooms, or by a window of areas where rooms aren't known."""
+    rows = L.public(listings(spark, sf_dir))
+    rows = rows.withColumns({
+        "deal_key": statistics.deal_key(F.col("deal"), F.col("room_only")), "usd": F.col("price_usd"),
+        "district": F.when(F.col("contact") % 3 > 0, F.concat(F.lit("d"), (F.col("contact") % 2).cast("string"))),
+        "area": F.when(F.col("id") % 9 > 0, F.col("area") + (F.col("id") % 5) * 0.5),
+    })
+    fresh = F.coalesce("created_at", "first_seen") >= F.lit("1996-01-01").cast("timestamp_ntz")
+    return market.compare(rows, Scratch(spark), fresh)
