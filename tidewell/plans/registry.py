@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from tidewell.plans import changes, events, feeds, identity, listings, people, rules, similar, stats, texts  # noqa: E402, F401
+from tidewell.plans import changes, events, feeds, identity, listings, people, rules, search, similar, stats, texts  # noqa: E402, F401
