@@ -1,6 +1,7 @@
 """Operators on documents: edge cases with defined results, and brute force on a small table."""
 
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -172,6 +173,39 @@ def test_all_segmentations_when_there_are_few():
     assert 1 <= len(rows) <= 5 and rows[-1][3] == 0.0 and all(m.decode(r[0]) == "日" for r in rows)
 
 
+def test_pieces_of_short_texts_are_as_many_as_there_are():
+    """Unlikely ones too: every segmentation of a short text can be sampled, and none twice."""
+    m = pieces.model(PIECES)
+    for text in ("a", "I", "ab", "Von.", "Osrañ.", "Pachque çaneux et.", "the end"):
+        lattices = pieces.Lattices(m, list(set(pieces.units(text))), pieces.ALPHA)
+        paths = 1
+        for unit in pieces.units(text):
+            word = lattices.place[unit]
+            taken, n = [], 0
+            while n < 6:
+                path, log = lattices.draw_other(word, taken, random.Random(n))
+                if not path:
+                    break
+                # what is left is what all weigh without the taken ones
+                assert log <= lattices.log_rest(word, taken) + 1e-9
+                taken.append(path)
+                n += 1
+            assert len(set(taken)) == n
+            paths *= n
+        for seed in range(40):
+            (rows,) = pieces.sample_texts(m, [text], [seed], 3)
+            assert len(rows) == min(3, paths), (text, seed)
+            assert len({r[0].tobytes() for r in rows}) == len(rows)
+            assert all(m.decode(r[0]) == text for r in rows)
+
+
+def test_pieces_write_blanks_as_their_mark():
+    m = pieces.model(PIECES)
+    (rows,) = pieces.sample_texts(m, ["a▁b"], [1], 2)
+    assert {m.decode(r[0]) for r in rows} == {"a b"}
+
+
+
 def test_encode_is_the_models_own(spark):
     got = {r.doc_id: r.ids for r in pieces.encode(frame(spark, [(1, "the end"), (2, None)]), PIECES).collect()}
     assert got[1] == pieces.model(PIECES).processor.encode("the end") and got[2] == []

@@ -207,14 +207,34 @@ class Lattices:
         self.ref_first = np.cumsum(self.ref_size) - self.ref_size
         logs = np.concatenate([[0.0], np.cumsum(self.log_weight[self.ref_edges])])
         self.ref_log = logs[self.ref_first + self.ref_size] - logs[self.ref_first]
-
-    def draw(self, words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        # What all other edges into an edge's node weigh: added up, not taken off 1, where the edge is the likeliest.
+        with np.errstate(divide="ignore"):
+            self.others = np.log1p(-np.minimum(weight, 1.0))
+        likeliest = self.main[starts:] if len(weight) else np.zeros(0, np.int64)
+        masked = self.log_weight.copy()
+        masked[likeliest] = -np.inf
+        if len(weight):
+            self.others[likeliest] = np.logaddexp.reduceat(masked, self.first[starts:-1])
+        self.ref_rest = self._rest(self.ref_edges, self.ref_size)
+
+    def _rest(self, edges: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """By path, given as ``sizes`` edges from its end, the logarithm of what all other paths of its word weigh: the sum over
+        the nodes at which they leave it."""
+        if not len(edges):
+            return np.full(len(sizes), -np.inf)
+        own = self.log_weight[edges]
+        first = np.cumsum(sizes) - sizes
+        before = np.cumsum(own) - own
+        before = before - np.repeat(before[first], sizes)
+        return np.logaddexp.reduceat(before + self.others[edges], first)
+
+    def draw(self, words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """One path for each word given: (pieces in order, edges from the end, number of them by
-        word, log-probability by word). A word gets its reference path or, by the same number,
+        word, log-probability by word, that of all its other paths). A word gets its reference path or, by the same number,
         one of the others, which is drawn from its end with the reference's mass taken off."""
         u = _uniform(keys, 0)
         live = np.flatnonzero(u >= self.word_stay[words])
-        log, sizes = self.ref_log[words], self.ref_size[words]
+        log, sizes, rest = self.ref_log[words], self.ref_size[words], self.ref_rest[words]
         log[live] = 0.0
         node = self.base[self.sizes[words[live]]] + words[live]
         on = np.ones(len(live), dtype=bool)
@@ -248,37 +268,55 @@ class Lattices:
         else:
             other, count = _ragged(who, edges, len(words))
             sizes = np.where(count > 0, count, sizes)
+            rest[count > 0] = self._rest(other, count[count > 0])
             pool = np.concatenate([self.ref_edges, other])
             place = len(self.ref_edges) + np.cumsum(count) - count
             back = _gather(pool, np.where(count > 0, place, self.ref_first[words]), sizes)
         ends = np.cumsum(sizes)
         turned = np.repeat(2 * ends - sizes - 1, sizes) - np.arange(len(back))
-        return self.piece[back[turned]], back, sizes, log
+        return self.piece[back[turned]], back, sizes, log, rest
+
+    def _leaving(self, word: int, taken: list[tuple[int, ...]]) -> list[tuple[float, tuple[int, ...], np.ndarray]]:
+        """Where other paths leave those of ``taken``: (log of what they weigh, the edges up to there, the edges they go on by)."""
+        out, todo = [], [(int(self.base[self.sizes[word]]) + word, (), 0.0, taken)]
+        while todo:
+            node, path, log, along = todo.pop()
+            lo, hi = int(self.first[node]), int(self.first[node + 1])
+            own = {x[len(path)] for x in along}
+            edges = np.array([e for e in range(lo, hi) if e not in own], dtype=np.int64)
+            if len(edges):
+                out.append((log + float(np.logaddexp.reduce(self.log_weight[edges])), path, edges))
+            for e in sorted(own):
+                further = [x for x in along if x[len(path)] == e]
+                if int(self.source[e]) >= self.starts:
+                    todo.append((int(self.source[e]), (*path, e), log + float(self.log_weight[e]), further))
+        return out
+
+    def log_rest(self, word: int, taken: list[tuple[int, ...]]) -> float:
+        """The logarithm of what all paths of a word but those of ``taken`` weigh."""
+        masses = [x[0] for x in self._leaving(word, taken)]
+        return float(np.logaddexp.reduce(masses)) if masses else -np.inf
 
     def draw_other(self, word: int, taken: list[tuple[int, ...]], dice: random.Random) -> tuple[tuple[int, ...], float]:
         """A path (edges from the end) that isn't one of ``taken``, drawn from the rest, and its
-        log-probability. At each node the mass of the taken paths that came along
-        is taken off the edge that they go on by."""
-        node, path, log, along = int(self.base[self.sizes[word]]) + word, [], 0.0, taken
+        log-probability: first where it leaves those, then by which edge, then its beginning."""
+
+        def chosen(logs: np.ndarray) -> int:
+            mass = np.cumsum(np.exp(logs - logs.max()))
+            return min(int(np.searchsorted(mass, dice.random() * mass[-1], side="right")), len(logs) - 1)
+
+        ways = self._leaving(word, taken)
+        masses = np.array([x[0] for x in ways])
+        if not len(ways) or masses.max() == -np.inf:
+            return (), -np.inf
+        _, path, edges = ways[chosen(masses)]
+        path = [*path, int(edges[chosen(self.log_weight[edges])])]
+        node = int(self.source[path[-1]])
         while node >= self.starts:
             lo, hi = int(self.first[node]), int(self.first[node + 1])
-            mass = np.exp(self.log_weight[lo:hi])
-            for x in along:
-                mass[x[len(path)] - lo] -= float(np.exp(self.log_weight[list(x[len(path) :])].sum()))
-            mass = np.maximum(mass, 0.0)
-            for x in along:  # what rounding left on the last edge of a taken path
-                if len(x) == len(path) + 1:
-                    mass[x[len(path)] - lo] = 0.0
-            total = mass.sum()
-            if total <= 0:
-                return (), -np.inf
-            edge = lo + int(np.searchsorted(np.cumsum(mass), dice.random() * total, side="right"))
-            edge = min(edge, hi - 1)
-            log += float(self.log_weight[edge])
-            path.append(edge)
-            along = [x for x in along if x[len(path) - 1] == edge]
-            node = int(self.source[edge])
-        return tuple(path), log
+            path.append(lo + chosen(self.log_weight[lo:hi]))
+            node = int(self.source[path[-1]])
+        return tuple(path), float(self.log_weight[path].sum())
 
 
 def _ragged(who: list[np.ndarray], items: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -312,7 +350,7 @@ class _Text:
 
     def __init__(self, words: np.ndarray, seed: int):
         self.words, self.seed = words, seed
-        self.paths: list[tuple] = []  # (pieces, edges from the end, sizes, logs, perturbed)
+        self.paths: list[tuple] = []  # (pieces, edges from the end, sizes, logs, perturbed, rests)
         self.heap: list[tuple] = []
 
 
@@ -326,14 +364,14 @@ def _keys(jobs: list[_Text], begins: list[int], salt: int) -> np.ndarray:
     return _mix(_mix(np.repeat(own, sizes)) + at.astype(np.uint64))
 
 
-def _push(todo: list[tuple[_Text, int, list[float]]], most: int) -> None:
+def _push(todo: list[tuple[_Text, int, float | None]], most: int) -> None:
     """Pushes the siblings of every text's last path: for each of its words from a position on,
-    all other paths of that word behind the same words; at that position some paths are taken
-    already, whose log-probabilities are given. No more than ``most`` can still be popped."""
+    all other paths of that word behind the same words. At that position some paths are taken
+    already: what the others weigh there is given. No more than ``most`` can still be popped."""
     todo = [t for t in todo if t[1] < len(t[0].words)]
     if not todo:
         return
-    jobs, begins, taken = zip(*todo, strict=True)
+    jobs, begins, given = zip(*todo, strict=True)
     last = [j.paths[-1] for j in jobs]
     logs = np.concatenate([p[3][b:] for p, b in zip(last, begins, strict=True)])
     sizes = np.array([len(j.words) - b for j, b in zip(jobs, begins, strict=True)])
@@ -341,17 +379,15 @@ def _push(todo: list[tuple[_Text, int, list[float]]], most: int) -> None:
     sums = np.cumsum(logs) - logs
     base = np.array([float(p[3][:b].sum()) if b else 0.0 for p, b in zip(last, begins, strict=True)])
     before = sums - np.repeat(sums[first] - base, sizes)
-    rest = np.maximum(-np.expm1(logs), 0.0)
-    for i, gone in zip(first.tolist(), taken, strict=True):
-        if gone:
-            left = 1.0 - float(np.exp(logs[i])) - sum(math.exp(t) for t in gone)
-            rest[i] = left if left > 1e-12 else 0.0
-    rest[rest < 1e-15] = 0.0  # less than rounding leaves of 1
+    rest = np.concatenate([p[5][b:] for p, b in zip(last, begins, strict=True)])
+    for i, own in zip(first.tolist(), given, strict=True):
+        if own is not None:
+            rest[i] = own
     perturbed = np.repeat(np.array([p[4] for p in last]), sizes)
     with np.errstate(divide="ignore"):
         noise = np.log(-np.log1p(-_uniform(_keys(list(jobs), list(begins), 41), 0)))
-        value = -np.logaddexp(-perturbed, noise - (before + np.log(rest)))
-    value[rest == 0.0] = -np.inf
+        value = -np.logaddexp(-perturbed, noise - (before + rest))
+    value[rest == -np.inf] = -np.inf
     owner = np.repeat(np.arange(len(jobs)), sizes)
     for _ in range(most):
         top = np.maximum.reduceat(value, first)
@@ -384,13 +420,13 @@ def sample_texts(m: Model, texts: list[str], seeds: list[int], k: int = SAMPLES,
         """Draws the words from a position on, for several texts at once."""
         words = [jobs[j].words[b:] for j, b in todo]
         keys = _keys([jobs[j] for j, _ in todo], [b for _, b in todo], 0)
-        pieces, back, sizes, logs = lattices.draw(np.concatenate(words), keys)
+        pieces, back, sizes, logs, rests = lattices.draw(np.concatenate(words), keys)
         ends = np.cumsum([len(w) for w in words])
         piece_ends = np.concatenate([[0], np.cumsum(sizes)])
         out, at = [], 0
         for end in ends.tolist():
             a, b = piece_ends[at], piece_ends[end]
-            out.append((pieces[a:b], back[a:b], sizes[at:end], logs[at:end]))
+            out.append((pieces[a:b], back[a:b], sizes[at:end], logs[at:end], rests[at:end]))
             at = end
         return out
 
@@ -399,8 +435,8 @@ def sample_texts(m: Model, texts: list[str], seeds: list[int], k: int = SAMPLES,
         roots = _uniform(_mix(np.array([jobs[j].seed for j in live], dtype=np.uint64)), 77)
         roots = -np.log(-np.log(np.clip(roots, 1e-300, 1 - 1e-16)))
         for j, part, root in zip(live, suffixes([(j, 0) for j in live]), roots.tolist(), strict=True):
-            jobs[j].paths.append((*part, root))
-        _push([(jobs[j], 0, []) for j in live], k)
+            jobs[j].paths.append((*part[:4], root, part[4]))
+        _push([(jobs[j], 0, None) for j in live], k)
     for number in range(1, k):
         popped = []
         for j in live:
@@ -425,7 +461,7 @@ def sample_texts(m: Model, texts: list[str], seeds: list[int], k: int = SAMPLES,
         grown = []
         for j, parent, at, value, path, log, taken in popped:
             job, old = jobs[j], jobs[j].paths[parent]
-            tail = next(drawn) if at + 1 < len(job.words) else (none, none, none, np.zeros(0))
+            tail = next(drawn) if at + 1 < len(job.words) else (none, none, none, np.zeros(0), np.zeros(0))
             ends = np.cumsum(old[2])
             a = int(ends[at - 1]) if at else 0
             new = (
@@ -434,15 +470,16 @@ def sample_texts(m: Model, texts: list[str], seeds: list[int], k: int = SAMPLES,
                 np.concatenate([old[2][:at], [len(path)], tail[2]]),
                 np.concatenate([old[3][:at], [log], tail[3]]),
                 value,
+                np.concatenate([old[5][:at], [0.0], tail[4]]),
             )
             job.paths.append(new)
-            grown.append((job, at, list(taken.values())))
+            grown.append((job, at, lattices.log_rest(int(job.words[at]), [*taken, path])))
         _push(grown, k - number)
     out = []
     for job in jobs:
         bound = -job.heap[0][0] if job.heap else -np.inf
         rows = []
-        for pieces, _, _, logs, value in job.paths:
+        for pieces, _, _, logs, value, _ in job.paths:
             log = float(logs.sum())
             x = log - bound
             included = 0.0 if x == np.inf else (float(np.log(-np.expm1(-np.exp(min(x, 700.0))))) if x > -30 else x)
@@ -485,7 +522,8 @@ def sample_segmentations(docs: DataFrame, path: str, k: int = SAMPLES, alpha: fl
     noise, by which samples are ranked, and ``log_inclusion`` the logarithm of the probability
     to be among the k given the greatest value left out (0 if all are in). Noise is seeded
     by doc_id, so a row's samples don't depend on its partition; rows of one doc_id and text get
-    the same ones. A null or empty text has the one segmentation without ids. Runs where the
+    the same ones. A null or empty text has the one segmentation without ids. The model writes blanks as ▁, so a ▁
+    of a text comes back as a blank. No path is too unlikely to be drawn: a text with three segmentations has three samples. Runs where the
     rows lie, without a shuffle; other columns are ignored; an empty table gives no rows.
     """
     return _run(docs, path, k, alpha, seed, SCHEMA, lambda m, i, t, n, ids, a, b, c: (i, n, ids, a, b, c, m.decode(ids)))
