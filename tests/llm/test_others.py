@@ -5,9 +5,10 @@ import gzip
 import hashlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import packing, queries, registry, topk, warc
+from tidewell.llm import packing, queries, registry, topk, toxicity, warc
 from tidewell.session import load
 
 
@@ -123,3 +124,28 @@ def test_topk_of_vectors_of_several_lengths(spark):
     rows = spark.createDataFrame([(0, [1, 2]), (1, [3, 1]), (2, [1, 1, 1]), (50, [2, 0, 1]), (4, [9])], "vec_id long, v array<long>")
     got = topk.top_k(rows, rows.where("vec_id % 50 = 0")).collect()
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == {(0, 1, 1, 5), (50, 1, 2, 3)}
+
+
+def test_topk_is_exact_for_large_components(spark):
+    rng = np.random.default_rng(8)
+    for size in (3e7, 1e9):
+        rows = [(i, [float(x) for x in rng.integers(-int(size), int(size), 4)]) for i in range(60)]
+        df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, V string")
+        v = topk.quantised(df, factor=1)
+        found = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(v, v.where("vec_id % 20 = 0")).collect()}
+        for q in (0, 20, 40):
+            scores = sorted((-sum(int(a) * int(b) for a, b in zip(rows[q][1], w)), i) for i, w in rows if i != q)[:5]
+            assert [found[q, n + 1] for n in range(5)] == [(i, -s) for s, i in scores]
+    far = spark.createDataFrame([(1, [1e300]), (2, [2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="leaves 64 bits"):
+        topk.quantised(far).collect()
+
+
+def test_toxicity_fits_one_row_an_id(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id % 2 AS doc_id", "concat('text number ', id) AS text")
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int")
+    seen = []
+    real = toxicity.fit_chain
+    monkeypatch.setattr(toxicity, "fit_chain", lambda rows, *rest: seen.append(len(rows)) or real(rows, *rest))
+    toxicity.train(docs, labels, ["toxic"])
+    assert seen == [2]

@@ -24,17 +24,23 @@ class SortedLists:
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.vectors, self.ids = vectors[order].astype(np.float64), ids[order]
+        self.exact, self.ids = vectors[order].astype(np.int64), ids[order]
+        self.vectors = self.exact.astype(np.float64)
+        self.most = float(np.abs(self.vectors).max(initial=0.0))
         self.lists = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
         self.values = np.take_along_axis(self.vectors.T, self.lists, axis=1)
 
     def search(self, query: np.ndarray, k: int, first_step: int = 64) -> tuple[np.ndarray, np.ndarray, int]:
         """Positions and scores of the k best (ties to smaller ids), and the depth walked.
 
-        Whole numbers below 2^53 are exact in the products. The step doubles, so a walk
+        Where a product may leave 2^53, below which doubles are exact, it is taken in 64-bit
+        whole numbers; beyond those it raises. The step doubles, so a walk
         that has to go to the bottom takes few rounds.
         """
         n, dims = self.vectors.shape
+        size = float(np.abs(query.astype(np.float64)).sum()) * self.most
+        large = size >= 2.0**53
+        own, query = query, query.astype(np.float64)
         up = query > 0
         lists, values = self.lists, self.values
         seen = np.zeros(n, dtype=bool)
@@ -51,7 +57,13 @@ class SortedLists:
             fresh = np.flatnonzero(met & ~seen)
             seen = met
             best = np.concatenate([best, fresh])
-            scores = np.concatenate([scores, np.einsum("ij,j->i", self.vectors[fresh], query)])
+            if large:
+                rough = self.vectors[fresh] @ query
+                if np.abs(rough).max(initial=0.0) >= 2.0**63 * (1 - 1e-9):
+                    raise OverflowError("a score leaves 64 bits")
+                scores = np.concatenate([scores.astype(np.int64), self.exact[fresh] @ own.astype(np.int64)])
+            else:
+                scores = np.concatenate([scores, np.einsum("ij,j->i", self.vectors[fresh], query)])
             if len(scores) > k:  # the kth score and all that tie with it
                 some = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
                 best, scores = best[some], scores[some]
@@ -62,6 +74,7 @@ class SortedLists:
                 break
             at = np.where(up, n - depth, depth - 1)
             bound = float((query * values[np.arange(dims), at]).sum())
+            bound += 1e-12 * size if large else 0.0  # more than rounding may have taken off
             if len(scores) == k and bound < scores[-1]:
                 break
         return best, scores, depth
@@ -69,12 +82,14 @@ class SortedLists:
 
 def quantised(rows: DataFrame, id_column: str = "vec_id", vector: str = "embedding", factor: int = 256) -> DataFrame:
     """(vec_id, v): whole components floor(factor * x). Rows whose vector is null, empty or
-    holds a null, an infinity or NaN are left out, as are null ids."""
+    holds a null, an infinity or NaN are left out, as are null ids. A component beyond 64 bits raises.
+    Other columns take no part, whatever their names."""
     x = F.col("v")
     out = rows.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     out = out.where(x.isNotNull() & (F.size(x) > 0) & ~bad & F.col("vec_id").isNotNull())
-    return out.select("vec_id", F.transform(x, lambda c: F.floor(c * factor).cast("long")).alias("v"))
+    far = lambda c: F.when(F.abs(c) * factor >= 2.0**63, F.raise_error(F.lit("a component leaves 64 bits")).cast("double")).otherwise(c)
+    return out.select("vec_id", F.transform(x, lambda c: F.floor(far(c) * factor).cast("long")).alias("v"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, block: int = BLOCK_QUERIES) -> DataFrame:
@@ -82,7 +97,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
 
     Both sides are (vec_id, v) with whole numbers; a query's own id is no candidate, nor is
     a vector of another length. Fewer than k candidates are all returned; repeated
-    ids count as different rows of the one id; an empty side gives no rows.
+    ids count as different rows of the one id; an empty side gives no rows. Scores are exact in 64 bits; one beyond raises.
 
     Equal vectors are first brought together, with their k + 1 smallest ids (found
     before the shuffle as well), so copies cost one row however many there are. Blocks of
@@ -113,7 +128,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
             lists = SortedLists(np.stack(some["v"].tolist()), np.array([i[0] for i in ids]))
             place = {i[0]: i for i in ids}
             for query, v in zip(asked["vec_id"].tolist(), asked["v"].tolist(), strict=True):
-                at, scores, _ = lists.search(np.asarray(v, dtype=np.float64), k + 1)
+                at, scores, _ = lists.search(np.asarray(v, dtype=np.int64), k + 1)
                 for p, s in zip(at.tolist(), scores.tolist(), strict=True):
                     found += [(query, i, int(s)) for i in place[int(lists.ids[p])] if i != query]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")

@@ -180,7 +180,8 @@ def train(
     ys = {r["id"]: tuple(r[1:]) for r in picked}
     small = spark.createDataFrame([(k,) for k in ys], "id long")  # at most sample_rows ids
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(F.broadcast(small), "id")
+    # One row a sampled id, so that what is fitted and collected is bounded by the sample, however often an id is repeated.
+    texts = texts.join(F.broadcast(small), "id").groupBy("id").agg(F.min("text").alias("text"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
