@@ -10,25 +10,27 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.text import squeezed
 
-#: Legal forms and ranks that a role's key ignores.
-LEGAL_FORMS = ("llc", "ltd", "inc", "gmbh", "corp", "co", "ag", "sa")
-RANKS = ("junior", "middle", "senior", "lead", "trainee", "intern", "principal")
+#: Legal forms that a company's name is told without, and what a title is told without.
+LEGAL_FORMS = ("llc", "ltd", "inc", "gmbh", "corp", "corporation", "co", "plc", "ag", "sa", "srl", "oy", "ab", "as", "llp", "ооо", "зао", "оао", "пао", "тоо", "мчж")
+RANKS = (
+    "senior", "junior", "middle", "lead", "principal", "staff", "intern", "trainee", "remote", "hybrid", "onsite", r"full[-\s]?time", r"part[-\s]?time", "contract",
+    r"стаж\p{L}*", r"удал[её]нн\p{L}*",
+)
 
 
-def without(tokens: Column, dropped: tuple[str, ...]) -> Column:
-    """The tokens that aren't in a list, joined by spaces."""
-    return F.array_join(F.filter(tokens, lambda t: ~t.isin(*dropped)), " ")
+def without_words(text: Column, patterns: tuple[str, ...], kept: str = "") -> Column:
+    """Lower-case words of letters, digits and ``kept``, one space between them, without whole words of a pattern."""
+    whole = r"(?<![\p{L}\p{N}])(" + "|".join(patterns) + r")(?![\p{L}\p{N}])"
+    bare = F.regexp_replace(F.lower(text), whole, " ") if patterns else F.lower(text)
+    return F.trim(F.regexp_replace(bare, rf"[^\p{{L}}\p{{N}}{kept}]+", " "))
 
 
 def role_key(country: Column, company: Column, title: Column, locality: Column) -> Column:
-    """SHA-256 over country, company without legal form, title without rank, and locality."""
-    parts = [
-        F.lower(F.trim(country)),
-        without(F.split(squeezed(company), " "), LEGAL_FORMS),
-        without(F.split(squeezed(title), " "), RANKS),
-        squeezed(locality),
-    ]
-    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
+    """SHA-256 over the country in capitals, the company without its legal form, the title without rank, terms and what stands in
+    brackets, and the locality; null where nothing is left of company or title."""
+    name, role = without_words(company, LEGAL_FORMS), without_words(F.regexp_replace(title, r"\([^)]*\)", " "), RANKS, "+#")
+    parts = [F.upper(F.coalesce(country, F.lit(""))), name, role, without_words(F.coalesce(locality, F.lit("")), ())]
+    return F.when((name != "") & (role != ""), F.sha2(F.concat_ws("\0", *parts), 256))
 
 
 def half(hex64: Column, low: bool) -> Column:

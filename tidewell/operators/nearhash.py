@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.keys import hamming
+from tidewell.functions.text import jaccard
 
 BANDS = 8
 MOST_BITS = 7
@@ -40,6 +41,20 @@ def near_pairs(rows: DataFrame, id_column: str, hash_column: str, most_bits: int
     return met.where(F.col("bits") <= most_bits).distinct()
 
 
+def prefix_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: ids of ``sets`` (id, w: distinct words) whose Jaccard similarity is at least ``least``. Words are put in order, the rarest first;
+    two such sets share a word among the first size - ceil(least x size) + 1 of each, so only these bring sets together."""
+    counts = sets.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    ranked = sets.select("id", F.explode("w").alias("t")).join(counts, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("r"))
+    words = F.transform("r", lambda x: x["t"])
+    size = F.size("r")
+    first = F.slice(words, 1, (size - F.ceil(size * least - 1e-9) + 1).cast("int"))
+    left = ranked.select(F.col("id").alias("a"), words.alias("wa"), F.explode(first).alias("t"))
+    right = ranked.select(F.col("id").alias("b"), words.alias("wb"), F.explode(first).alias("t"))
+    met = left.join(right, "t").where((F.col("a") < F.col("b")) & (jaccard(F.col("wa"), F.col("wb")) >= least))
+    return met.select("a", "b").distinct()
+
+
 def linked_rows(rows: DataFrame, id_column: str, class_column: str, pairs: DataFrame) -> DataFrame:
     """(id, class_id, links) of every row: the smallest id of its class, which ``pairs`` (a, b) name, and the number of
     other rows linked with it, those of its own class among them."""

@@ -72,3 +72,12 @@ def percentiles(rows: DataFrame, keys: Sequence[str], value: str, shares: Sequen
     after = [p - F.floor(p) for p in places]
     mixed = [F.col(f"v{2 * i}") * (1 - d) + F.col(f"v{2 * i + 1}") * d for i, d in enumerate(after)]
     return ends.select(*keys, F.col("n").alias("values"), F.array(*mixed).alias("p"))
+
+
+def prefix_sums(a: Column) -> Column:
+    """Prefix sums of an array of longs by doubling: as many rounds as its size has bits, so long arrays cost little more than their size."""
+    n = F.size(a)
+    zero = F.lit(0).cast("long")
+    rounds = F.when(n > 1, F.sequence(F.lit(0), F.ceil(F.log2(n.cast("double"))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    shifted = lambda acc, r: F.concat(F.array_repeat(zero, F.pow(F.lit(2), r).cast("int")), acc)
+    return F.aggregate(rounds, a, lambda acc, r: F.slice(F.zip_with(acc, shifted(acc, r), lambda x, y: x + y), 1, n))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.session import Scratch
+
 #: Pattern of an hourly amount, with the currency words that may stand in it.
 CURRENCY_TAIL = "(?:[⃀₴€$₸]|сом(?:ов)?|сум(?:ов)?|сўм|грн|тг|тенге|руб|usd|eur|uah|kgs|uzs|kzt)?"
 HOURLY = rf"(?i)(\d[\d ]*)\s*{CURRENCY_TAIL}\s*(?:/|за|per)\s*(?:час|hour|hr)(?:[^\p{{L}}\p{{N}}_]|$)"
@@ -91,6 +93,29 @@ def last_at_first_place(rows: DataFrame, keys: list[str], place: str) -> DataFra
     return found.select(*keys, place, *[F.col("last").getField(c).alias(c) for c in rest])
 
 
+def pair_key(key: str, source: str, own: str) -> list[Column]:
+    """A key 'source:id' taken apart at its first colon; ids may hold more. Without a colon the id is empty."""
+    at = F.instr(F.col(key), ":")
+    return [F.substring_index(key, ":", 1).alias(source), F.when(at > 0, F.substr(key, at + 1)).otherwise("").alias(own)]
+
+
+def placed(rows: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
+    """``rows`` with ``place``, from 0, by ``order``: sorted by ranges over tasks, numbered within each, and moved on by the
+    counts of the ranges before, of which the driver gets one a task. Gaps in the order don't matter; rows of equal order get
+    different places."""
+    ranged = rows.repartitionByRange(*order).select("*", F.spark_partition_id().alias("range_"))
+    ranged = scratch.put(ranged, "ranges")
+    counts = sorted(ranged.groupBy("range_").agg(F.count("*").alias("n")).collect())
+    before, total = {}, 0
+    for part, n in counts:
+        before[part], total = total, total + n
+    if not before:
+        return ranged.withColumn("place", F.lit(0).cast("long")).drop("range_")
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("range_"))
+    own = F.row_number().over(Window.partitionBy("range_").orderBy(*order)) - 1
+    return ranged.withColumn("place", (own + start).cast("long")).drop("range_")
+
+
 def rotating(rows: DataFrame, order: Column, now_minutes: int, most: int = 12, slot_minutes: int = 30) -> DataFrame:
     """The ``most`` rows whose turn it is in the slot of time that ``now_minutes`` lies in; all
     rows if there are no more. ``rows`` is a list of crawl targets, ``order`` its places from 0."""

@@ -26,15 +26,14 @@ VACANCIES = f"""WITH vacancies AS (
     [['sql', 'java', 'go', 'excel', 'sales'][CAST(o_orderkey % 5 + 1 AS INTEGER)], ['sql', 'java', 'go', 'excel', 'sales'][CAST(o_custkey % 5 + 1 AS INTEGER)]] AS skills,
     CASE o_orderkey % 4 WHEN 0 THEN ['en', 'en:b2'] WHEN 1 THEN ['de', 'de:c1', 'en'] WHEN 2 THEN ['uk'] ELSE CAST([] AS VARCHAR[]) END AS language_keys,
     o_orderdate AS posted_at, o_orderstatus <> 'P' AS active, TIMESTAMP '{NOW_DATE}' AS now
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate <= TIMESTAMP '{NOW_DATE}')
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
 """
 
 
 def vacancies(spark, sf_dir):
-    """orders up to a day as vacancies; see VACANCIES for the same in SQL."""
+    """orders as vacancies; see VACANCIES for the same in SQL."""
     orders, customer, nation = (load(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    rows = orders.where(F.col("o_orderdate") <= F.lit(NOW_DATE).cast("timestamp_ntz"))
-    rows = rows.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
     k, names = F.col("o_orderkey"), F.array(*[F.lit(s) for s in SKILLS])
     keys = F.when(k % 4 == 0, F.array(F.lit("en"), F.lit("en:b2"))).when(k % 4 == 1, F.array(F.lit("de"), F.lit("de:c1"), F.lit("en")))
     return rows.select(

@@ -148,23 +148,11 @@ def sticky_merge(spark, sf_dir):
 @query(
     POINTS
     + """, n AS (SELECT a.point, min(2 * 6371000.0::DOUBLE * asin(least(1.0, sqrt(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lng) - radians(a.lng)) / 2), 2))))) AS d
-      FROM p a JOIN p b ON a.point <> b.point WHERE a.point % 10 = 0 AND b.point % 10 = 0 GROUP BY a.point)
+      FROM p a JOIN p b ON a.point <> b.point GROUP BY a.point)
     SELECT point, CAST(CAST(least(3000, greatest(300, 0.45 * d)) AS DECIMAL(20,2)) AS DOUBLE) AS radius FROM n"""
 )
 def zone_radii(spark, sf_dir):
-    """Radii of zones that don't overlap: a share of the way to the nearest other centre. Centres
-    are a fixed catalogue, here every tenth point."""
-    c = points(spark, sf_dir).where("point % 10 = 0").select("point", "lat", "lng")
-    others = c.select(F.col("point").alias("other"), F.col("lat").alias("olat"), F.col("lng").alias("olng"))
-    d = geo.haversine(F.col("lat"), F.col("lng"), F.col("olat"), F.col("olng"))
-    near = c.join(others, F.col("point") != F.col("other")).groupBy("point").agg(F.min(d).alias("d"))
-    radius = F.least(F.lit(3000.0), F.greatest(F.lit(300.0), 0.45 * F.col("d")))
-    return near.select("point", radius.cast("decimal(20,2)").cast("double").alias("radius"))
-
-
-@query()
-def zone_radii_all(spark, sf_dir):
-    """Radii of zones around all points, against all others; see ``scores.zone_radii``."""
+    """Radii of zones that don't overlap: a share of the way to the nearest other centre, for all points; see ``scores.zone_radii``."""
     from tidewell.operators.scores import zone_radii as radii
 
     return radii(points(spark, sf_dir), "point").withColumnRenamed("id", "point")
@@ -192,12 +180,12 @@ def seventy_percent_terms(spark, sf_dir):
     return d.where(F.col("matched") >= 0.7 * 4)
 
 
-@query("SELECT p_partkey AS id, levenshtein(split_part(lower(p_name), ' ', 1), 'alnond') AS edits FROM part WHERE levenshtein(split_part(lower(p_name), ' ', 1), 'alnond') <= 2 AND substr(lower(p_name), 1, 1) = 'a'")
+@query("SELECT p_partkey AS id, levenshtein(split_part(lower(p_name), ' ', 2), 'widgit') AS edits FROM part WHERE levenshtein(split_part(lower(p_name), ' ', 2), 'widgit') <= 2 AND substr(split_part(lower(p_name), ' ', 2), 1, 1) = 'w'")
 def fuzzy_terms(spark, sf_dir):
     """Words within two edits of a query word of at least six letters, its first letter fixed."""
-    word = F.split_part(F.lower("p_name"), F.lit(" "), F.lit(1))
-    edits = F.levenshtein(word, F.lit("alnond"))
-    return load(spark, sf_dir, "part").where((edits <= 2) & (F.substring(word, 1, 1) == "a")).select(F.col("p_partkey").alias("id"), edits.cast("long").alias("edits"))
+    word = F.split_part(F.lower("p_name"), F.lit(" "), F.lit(2))
+    edits = F.levenshtein(word, F.lit("widgit"))
+    return load(spark, sf_dir, "part").where((edits <= 2) & (F.substring(word, 1, 1) == "w")).select(F.col("p_partkey").alias("id"), edits.cast("long").alias("edits"))
 
 
 @query(

@@ -127,18 +127,26 @@ def employer_newest(spark, sf_dir):
     )
 
 
-_TOKENS = "list_filter(string_split(trim(regexp_replace(lower({0}), '\\s+', ' ', 'g')), ' '), lambda t: t NOT IN ({1}))"
-_ROLE = (
-    "sha256(lower(trim(p_brand)) || chr(31) || array_to_string("
-    + _TOKENS.format("p_type", ", ".join(f"'{x}'" for x in LEGAL_FORMS))
-    + ", ' ') || chr(31) || array_to_string("
-    + _TOKENS.format("p_name", ", ".join(f"'{x}'" for x in RANKS))
-    + ", ' ') || chr(31) || CAST(p_size AS VARCHAR))"
-)
+#: Postings of one role that are written in several ways.
+_COMPANY = "CASE p_partkey % 4 WHEN 0 THEN upper(p_brand) || ', LLC.' WHEN 1 THEN p_brand || ' GmbH' WHEN 2 THEN 'ООО \"' || p_brand || '\"' ELSE p_brand END"
+_TITLE = "CASE p_partkey % 5 WHEN 0 THEN 'Senior ' || p_name WHEN 1 THEN p_name || ' (remote, C++)' WHEN 2 THEN p_name || ' full-time' WHEN 3 THEN p_name || ', стажёр' ELSE p_name END"
+
+
+def _told(sql: str, dropped: str, kept: str = "") -> str:
+    """without_words in DuckDB, which knows no lookaround: words are set apart by two blanks first."""
+    apart = f"regexp_replace({sql}, '[^\\p{{L}}\\p{{N}}{kept}]+', '  ', 'g')"
+    bare = f"regexp_replace(' ' || {apart} || ' ', ' ({dropped}) ', '  ', 'g')" if dropped else apart
+    return f"trim(regexp_replace({bare}, ' +', ' ', 'g'))"
+
+
+_FORMS = "|".join(LEGAL_FORMS)
+_TERMS = "|".join(r for r in RANKS if "[-" not in r)
+_TIMES = "regexp_replace(regexp_replace(lower({0}), '\\([^)]*\\)', ' ', 'g'), '(full|part)[- ]?time', ' ', 'g')"
+_ROLE = f"""sha256(upper(p_type) || chr(0) || {_told(f"lower({_COMPANY})", _FORMS)} || chr(0) || {_told(_TIMES.format(_TITLE), _TERMS, "+#")} || chr(0) || CAST(p_size AS VARCHAR))"""
 
 
 def _roles(spark, sf_dir):
-    key = role_key(F.col("p_brand"), F.col("p_type"), F.col("p_name"), F.col("p_size").cast("string"))
+    key = role_key(F.col("p_type"), F.expr(_COMPANY), F.expr(_TITLE), F.col("p_size").cast("string"))
     return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), key.alias("role_key"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.operators import rules as R
 from tidewell.plans.registry import query
 from tidewell.plans.tables import LISTINGS, listings
-from tidewell.session import load
+from tidewell.session import Scratch, load
 
 _PROFILES = """WITH p AS (SELECT o_orderkey AS id, o_custkey AS contact, o_orderpriority AS platform, o_orderkey % 40 AS subject, o_clerk AS username, 'name ' || o_custkey % 9 AS name FROM {0}),
   w AS (SELECT *, lag(contact) OVER o AS contact0, lag(platform) OVER o AS platform0, lag(subject) OVER o AS subject0, lag(username) OVER o AS username0, lag(name) OVER o AS name0 FROM p WINDOW o AS (PARTITION BY subject // 4, contact % 50 ORDER BY id))
@@ -118,14 +118,14 @@ def last_wins_first_place(spark, sf_dir):
 
 
 @query(
-    """WITH n AS (SELECT count(*) AS n FROM supplier), s AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_suppkey) - 1 AS place FROM supplier)
+    """WITH s AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_suppkey) - 1 AS place FROM supplier WHERE s_suppkey % 7 <> 3), n AS (SELECT count(*) AS n FROM s)
     SELECT id FROM s, n WHERE n <= 12 OR (place - (28800001 // 30 * 12) % n + n) % n < 12"""
 )
 def rotating_targets(spark, sf_dir):
     """The crawl targets whose turn it is."""
-    targets = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
-    smallest = targets.agg(F.min("id")).first()[0] or 0  # keys are numbered without gaps
-    return R.rotating(targets, F.col("id") - F.lit(smallest), 28_800_001)
+    targets = load(spark, sf_dir, "supplier").where("s_suppkey % 7 <> 3").select(F.col("s_suppkey").alias("id"))  # a list with gaps
+    placed = R.placed(targets, ["id"], Scratch(spark))
+    return R.rotating(placed, F.col("place"), 28_800_001).select("id")
 
 
 @query(
@@ -206,15 +206,17 @@ def has_photos(spark, sf_dir):
 
 
 @query(
-    LISTINGS + """SELECT id, source FROM listings WHERE (source, id) IN (SELECT ('s' || CAST(doc_id % 4 AS VARCHAR), doc_id) FROM labels WHERE quality = 1)"""
+    LISTINGS + """, l AS (SELECT id, source, CASE WHEN id % 2 = 0 THEN 'a:' ELSE '' END || CAST(id AS VARCHAR) AS own FROM listings)
+    SELECT own, source FROM l WHERE (source, own) IN (SELECT ('s' || CAST(doc_id % 4 AS VARCHAR), CASE WHEN doc_id % 2 = 0 THEN 'a:' ELSE '' END || CAST(doc_id AS VARCHAR)) FROM labels WHERE quality = 1)"""
 )
 def pair_key_filter(spark, sf_dir):
-    """Rows whose (source, id) is among keys given as one string each."""
+    """Rows whose (source, id) is among keys given as one string each: the source up to the first colon, the id all behind it."""
+    own = lambda c: F.concat(F.when(F.col(c) % 2 == 0, "a:").otherwise(""), F.col(c).cast("string"))
     keys = load(spark, sf_dir, "labels").where("quality = 1")
-    keys = keys.select(F.concat_ws(":", F.concat(F.lit("s"), (F.col("doc_id") % 4).cast("string")), F.col("doc_id").cast("string")).alias("key"))
-    keys = keys.select(F.split_part("key", F.lit(":"), F.lit(1)).alias("source"), F.split_part("key", F.lit(":"), F.lit(2)).cast("long").alias("id"))
-    rows = listings(spark, sf_dir).select("id", "source")
-    return rows.join(keys, ["source", "id"], "left_semi").select("id", "source")
+    keys = keys.select(F.concat_ws(":", F.concat(F.lit("s"), (F.col("doc_id") % 4).cast("string")), own("doc_id")).alias("key"))
+    keys = keys.select(*R.pair_key("key", "source", "own"))
+    rows = listings(spark, sf_dir).select(own("id").alias("own"), "source")
+    return rows.join(keys, ["source", "own"], "left_semi").select("own", "source")
 
 
 @query(

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import jaccard, words
-from tidewell.operators.nearhash import linked_rows, near_pairs
+from tidewell.functions.text import words
+from tidewell.operators.nearhash import linked_rows, near_pairs, prefix_pairs
 from tidewell.plans.registry import query
 from tidewell.session import load
 
@@ -14,29 +14,34 @@ _HALF = "('0x' || substr({0}.h, {1}, 8))::BIGINT"
 _BITS = " + ".join(f"bit_count(xor({_HALF.format('a', i)}, {_HALF.format('b', i)}))::INTEGER" for i in (1, 9))
 
 
+_SIGNS = """s AS (SELECT vec_id, substr(md5(CAST(label AS VARCHAR)), 1, 8) || array_to_string(list_transform(range(8), lambda i: format('{:x}', CASE WHEN embedding[8*i+1] + embedding[8*i+2] > 0 THEN 8 ELSE 0 END
+      + CASE WHEN embedding[8*i+3] + embedding[8*i+4] > 0 THEN 4 ELSE 0 END + CASE WHEN embedding[8*i+5] + embedding[8*i+6] > 0 THEN 2 ELSE 0 END + CASE WHEN embedding[8*i+7] + embedding[8*i+8] > 0 THEN 1 ELSE 0 END)), '') AS h FROM embeddings)"""
+
+
+def _signs(spark, sf_dir):
+    """A hash of 16 digits: half of the label, half the signs of the sums of neighbouring components, all 64 of them."""
+    x = F.col("embedding")
+    bit = lambda i, j: F.when(F.element_at(x, 8 * i + 2 * j + 1) + F.element_at(x, 8 * i + 2 * j + 2) > 0, 8 >> j).otherwise(0)
+    digits = [F.lower(F.hex(sum(bit(i, j) for j in range(4)).cast("int"))) for i in range(8)]
+    return load(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.substring(F.md5(F.col("label").cast("string")), 1, 8), *digits).alias("hash"))
+
+
 @query(
-    f"""WITH s AS (SELECT vec_id, substr(md5(CAST(label AS VARCHAR)), 1, 14) || array_to_string(list_transform(range(2), lambda i: format('{{:x}}', CASE WHEN embedding[4*i+1] > 0 THEN 8 ELSE 0 END
-      + CASE WHEN embedding[4*i+2] > 0 THEN 4 ELSE 0 END + CASE WHEN embedding[4*i+3] > 0 THEN 2 ELSE 0 END + CASE WHEN embedding[4*i+4] > 0 THEN 1 ELSE 0 END)), '') AS h FROM embeddings),
-    c AS (SELECT h, min(vec_id) AS id FROM s GROUP BY h), p AS (SELECT a.id AS a, b.id AS b, {_BITS} AS bits FROM c a JOIN c b ON a.id < b.id)
+    f"""WITH {_SIGNS}, c AS (SELECT h, min(vec_id) AS id FROM s GROUP BY h), p AS (SELECT a.id AS a, b.id AS b, {_BITS} AS bits FROM c a JOIN c b ON a.id < b.id)
     SELECT a, b, bits FROM p WHERE bits <= 7"""
 )
 def hamming_band_join(spark, sf_dir):
-    """Pairs of 64-bit hashes (of label and signs) within seven bits, met by shared bands."""
-    x = F.col("embedding")
-    nibble = lambda i: sum(F.when(F.element_at(x, 4 * i + j + 1) > 0, 8 >> j).otherwise(0) for j in range(4))
-    signs = [F.lower(F.hex(nibble(i).cast("int"))) for i in range(2)]
-    digits = F.concat(F.substring(F.md5(F.col("label").cast("string")), 1, 14), *signs)
-    hashed = load(spark, sf_dir, "embeddings").select("vec_id", digits.alias("hash"))
-    return near_pairs(hashed, "vec_id", "hash")
+    """Pairs of classes of equal 64-bit hashes within seven bits, met by shared bands; ``hamming_band_members`` has the membership."""
+    return near_pairs(_signs(spark, sf_dir), "vec_id", "hash")
 
 
-@query()
+@query(
+    f"""WITH {_SIGNS}, p AS (SELECT a.vec_id AS id, a.h, count(*) - 1 AS links FROM s a JOIN s b ON {_BITS} <= 7 GROUP BY a.vec_id, a.h)
+    SELECT p.id, min(s.vec_id) AS class_id, p.links FROM p JOIN s ON s.h = p.h GROUP BY p.id, p.links"""
+)
 def hamming_band_members(spark, sf_dir):
-    """Every vector with the class of its hash (the signs of all 64 components) and its links within seven bits."""
-    x = F.col("embedding")
-    nibble = lambda i: sum(F.when(F.element_at(x, 4 * i + j + 1) > 0, 8 >> j).otherwise(0) for j in range(4))
-    signs = [F.lower(F.hex(nibble(i).cast("int"))) for i in range(16)]
-    hashed = load(spark, sf_dir, "embeddings").select("vec_id", F.concat(*signs).alias("hash"))
+    """Every vector with the class of its hash and its links within seven bits."""
+    hashed = _signs(spark, sf_dir)
     return linked_rows(hashed, "vec_id", "hash", near_pairs(hashed, "vec_id", "hash"))
 
 
@@ -46,16 +51,17 @@ def hamming_band_members(spark, sf_dir):
     WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE >= 0.3 AND len(list_intersect(a.w, b.w)) > 0"""
 )
 def title_jaccard_pairs(spark, sf_dir):
-    """Pairs of titles whose words overlap by three tenths, met over shared words."""
+    """Pairs of titles, by their smallest ids, whose words overlap by three tenths, met over the rarer of their words; ``title_jaccard_members`` has
+    the membership."""
     titles = load(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id"))
-    titles = titles.withColumn("w", F.array_distinct(words(F.col("p_name"))))
-    left = titles.select(F.col("id").alias("a"), F.col("w").alias("wa"), F.explode("w").alias("t"))
-    right = titles.select(F.col("id").alias("b"), F.col("w").alias("wb"), F.explode("w").alias("t"))
-    met = left.join(right, "t").where((F.col("a") < F.col("b")) & (jaccard(F.col("wa"), F.col("wb")) >= 0.3))
-    return met.select("a", "b").distinct()
+    return prefix_pairs(titles.select("id", F.array_distinct(words(F.col("p_name"))).alias("w")), 0.3)
 
 
-@query()
+@query(
+    """WITH r AS (SELECT p_partkey AS id, p_name, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part), t AS (SELECT p_name, any_value(w) AS w, min(id) AS class_id, count(*) AS n FROM r GROUP BY p_name),
+    l AS (SELECT a.p_name, a.class_id, sum(b.n) - 1 AS links FROM t a JOIN t b ON len(list_intersect(a.w, b.w)) > 0 AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE >= 0.3 GROUP BY ALL)
+    SELECT r.id, l.class_id, CAST(l.links AS BIGINT) AS links FROM r JOIN l USING (p_name)"""
+)
 def title_jaccard_members(spark, sf_dir):
     """Every row with the class of its title and its links, equal titles among them."""
     return linked_rows(load(spark, sf_dir, "part"), "p_partkey", "p_name", title_jaccard_pairs(spark, sf_dir))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import geo
 from tidewell.functions.keys import fnv1a_bucket
-from tidewell.functions.text import REDACTIONS, near, redact, words
+from tidewell.functions.text import REDACTIONS, redact, words
+from tidewell.operators import payments
 from tidewell.operators.scores import search_scores
 from tidewell.plans.registry import query
 from tidewell.session import load
@@ -26,25 +27,18 @@ def text_search_rank(spark, sf_dir):
     return search_scores(docs, "doc_id", fields, ["the", "en"])
 
 
-@query(f"SELECT b.item_id, d.doc_id FROM (SELECT item_id, {_WORDS.format('text')}[1:3] AS q FROM benchmark) b JOIN (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents) d ON list_has_all(d.w, b.q)")
+@query(f"SELECT b.item_id, d.doc_id FROM (SELECT item_id, list_distinct({_WORDS.format('text')}) AS q FROM benchmark) b JOIN (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents) d ON list_has_all(d.w, b.q)")
 def fulltext_all_terms(spark, sf_dir):
-    """Documents that hold all of a query's words: met over the words of an inverted index. Queries are the first three
-    words of each item; ``fulltext_all_words`` takes all."""
-    return _with_all_terms(spark, sf_dir, F.slice(words(F.col("text")), 1, 3))
-
-
-@query()
-def fulltext_all_words(spark, sf_dir):
-    """Documents that hold all distinct words of an item."""
-    return _with_all_terms(spark, sf_dir, words(F.col("text")))
-
-
-def _with_all_terms(spark, sf_dir, asked):
-    q = load(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(asked).alias("q"))
-    terms = q.select("item_id", F.size("q").alias("need"), F.explode("q").alias("t"))
-    index = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("t"))
-    met = index.join(terms, "t").groupBy("item_id", "doc_id", "need").agg(F.count("*").alias("n"))
-    return met.where("n = need").select("item_id", "doc_id")
+    """Documents that hold all distinct words of an item. They meet over the item's rarest word alone; then the row's
+    own words are compared with the item's, so a common word brings nobody together."""
+    items = load(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(words(F.col("text"))).alias("q"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.array_distinct(words(F.col("text"))).alias("w"))
+    index = docs.select("doc_id", F.explode("w").alias("t"))
+    counts = index.groupBy("t").agg(F.count("*").alias("n"))
+    asked = items.select("item_id", F.explode("q").alias("t")).join(counts, "t", "left")
+    rarest = asked.groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "t")).alias("r")).where("r.n > 0")
+    met = index.join(rarest.select("item_id", F.col("r.t").alias("t")), "t").select("item_id", "doc_id")
+    return met.join(items, "item_id").join(docs, "doc_id").where(F.size(F.array_except("q", "w")) == 0).select("item_id", "doc_id")
 
 
 @query(f"SELECT w AS token, count(*) AS n FROM (SELECT unnest({_WORDS.format('text')}) AS w FROM documents) GROUP BY w ORDER BY n DESC, w LIMIT 20")
@@ -69,14 +63,43 @@ def page_extract(spark, sf_dir):
     )
 
 
-_NEAR = "(?is)(token|password).{0,90}(= ?\"|key)|(= ?\"|key).{0,90}(token|password)"
+#: Sentences put behind the texts, so that the rules meet all kinds of phrase, near and far apart.
+_SAID = (
+    "Send the deposit before the viewing, please.", "A deposit is due at signing.", "Urgent! Many people ask. Transfer today.", "Please send a photo of your ID first.",
+    "Bring your passport to the notary.", "What is the CVV and the sms code?", "There is a credit check at https://example.org/check first.", "An application fee of 10 applies.",
+    "Предоплата до просмотра, срочно.", "Deposit. " + "The rooms are bright and quiet and the yard is green in spring. " * 3 + "Before viewing call us.",
+)
+_TEXT = "text || ' ' || CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_SAID)) + " ELSE '' END"
+
 
+def _payment_sql() -> str:
+    edge = "[^\\p{L}\\p{N}]"
 
-@query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{_NEAR}')")
+    def found(name: str, whole: bool = False) -> str:
+        return f"(?i)(^|{edge})({'|'.join(payments.PHRASES[name])})" + (f"($|{edge})" if whole else "")
+
+    def near(name: str) -> str:
+        return f"regexp_matches(around, '{found(name)}')"
+
+    ctes, parts = [f"WITH d AS (SELECT doc_id, {_TEXT} AS t FROM documents)"], []
+    for i, (reason, anchor, contexts, whole) in enumerate(payments.RULES):
+        own = found(anchor, whole)
+        # A hit may start with the character before it; a whole word's last one is shared with what follows, so both are looked at.
+        ctes.append(f"""g{i} AS (SELECT doc_id, t, regexp_split_to_array(t, '{own}') AS gaps, regexp_extract_all(t, '{own}') AS hits FROM d),
+  e{i} AS (SELECT doc_id, t, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM g{i}),
+  a{i} AS (SELECT doc_id, t, hits[i] AS hit, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + COALESCE(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS raw FROM e{i}),
+  p{i} AS (SELECT doc_id, t, raw + CASE WHEN regexp_matches(hit, '^{edge}') THEN 1 ELSE 0 END AS start, raw + length(hit) - CASE WHEN {str(whole).lower()} AND regexp_matches(hit, '{edge}$') THEN 1 ELSE 0 END AS stop FROM a{i}),
+  w{i} AS (SELECT doc_id, start, substr(t, greatest(0, start - 90) + 1, stop + 90 - greatest(0, start - 90)) AS around FROM p{i})""")
+        test = " OR ".join(near(c) if c != "link" else "regexp_matches(around, '(?i)https?://|(^|[^\\p{L}\\p{N}])www\\.')" for c in contexts) or "true"
+        parts.append(f"SELECT doc_id, '{reason}' AS reason, start, {i} AS place FROM w{i} WHERE {test}")
+    return ", ".join(ctes) + " SELECT doc_id, reason, arg_min(start, (place, start)) AS at FROM (" + " UNION ALL ".join(parts) + ") GROUP BY doc_id, reason"
+
+
+@query(_payment_sql())
 def payment_signals(spark, sf_dir):
-    """Texts with two kinds of phrase within ninety characters."""
-    docs = load(spark, sf_dir, "documents")
-    return docs.where(near(F.col("text"), "token|password", '= ?"|key', 90)).select("doc_id")
+    """Payment findings of every text: what was found first and where; phrases in four languages."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.expr(_TEXT).alias("said"))
+    return payments.findings(docs, "said").select("doc_id", "reason", "at")
 
 
 def _redacted(sql: str) -> str:
@@ -154,7 +177,7 @@ _HAV = "2 * 6371000.0::DOUBLE * asin(least(1.0, sqrt(pow(sin((radians(b.lat) - r
 @query(
     POINTS
     + f"""SELECT point, kind, place, CAST(rn AS INTEGER) AS place_rank FROM (SELECT a.point, b.kind, b.point AS place, {_HAV} AS d, row_number() OVER (PARTITION BY a.point, b.kind ORDER BY {_HAV}, b.point) AS rn
-    FROM p a JOIN p b ON a.point <> b.point AND {_HAV} <= 4000 WHERE b.point % 5 = 0) WHERE rn <= 3"""
+    FROM p a JOIN p b ON a.point <> b.point AND {_HAV} <= 4000) WHERE rn <= 3"""
 )
 def nearest_k_per_kind(spark, sf_dir):
     """The three nearest places of each kind within four kilometres: points and places meet in
@@ -167,7 +190,7 @@ def nearest_k_per_kind(spark, sf_dir):
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     asked = p.select("point", "lat", "lng", around.alias("o"))
     asked = asked.select("point", "lat", "lng", (cell("lat", lat_cell) + F.col("o.i")).alias("ci"), (cell("lng", lng_cell) + F.col("o.j")).alias("cj"))
-    places = p.where("point % 5 = 0").select(
+    places = p.select(
         F.col("point").alias("place"), F.col("lat").alias("plat"), F.col("lng").alias("plng"), "kind",
         cell("lat", lat_cell).alias("pi"), cell("lng", lng_cell).alias("pj"),
     )
