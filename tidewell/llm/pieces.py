@@ -210,11 +210,17 @@ class Lattices:
         # What all other edges into an edge's node weigh: added up, not taken off 1, where the edge is the likeliest.
         with np.errstate(divide="ignore"):
             self.others = np.log1p(-np.minimum(weight, 1.0))
-        likeliest = self.main[starts:] if len(weight) else np.zeros(0, np.int64)
-        masked = self.log_weight.copy()
-        masked[likeliest] = -np.inf
         if len(weight):
-            self.others[likeliest] = np.logaddexp.reduceat(masked, self.first[starts:-1])
+            likeliest = self.main[starts:]
+            masked = weight.copy()
+            masked[likeliest] = 0.0
+            sums = np.add.reduceat(masked, self.first[starts:-1])
+            with np.errstate(divide="ignore"):
+                self.others[likeliest] = np.log(sums)
+            # Sums too small for doubles are added up as logarithms.
+            for n in np.flatnonzero((sums < 1e-290) & (np.diff(self.first[starts:]) > 1)).tolist():
+                edges = np.arange(self.first[starts + n], self.first[starts + n + 1])
+                self.others[likeliest[n]] = np.logaddexp.reduce(self.log_weight[edges[edges != likeliest[n]]])
         self.ref_rest = self._rest(self.ref_edges, self.ref_size)
 
     def _rest(self, edges: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -276,26 +282,33 @@ class Lattices:
         turned = np.repeat(2 * ends - sizes - 1, sizes) - np.arange(len(back))
         return self.piece[back[turned]], back, sizes, log, rest
 
-    def _leaving(self, word: int, taken: list[tuple[int, ...]]) -> list[tuple[float, tuple[int, ...], np.ndarray]]:
-        """Where other paths leave those of ``taken``: (log of what they weigh, the edges up to there, the edges they go on by)."""
+    def _leaving(self, word: int, taken: list[tuple[int, ...]]) -> list[tuple[float, tuple[int, ...], int, set[int]]]:
+        """Where other paths leave those of ``taken``: (log of what they weigh, the edges up to there, the node, the edges taken there)."""
         out, todo = [], [(int(self.base[self.sizes[word]]) + word, (), 0.0, taken)]
         while todo:
             node, path, log, along = todo.pop()
-            lo, hi = int(self.first[node]), int(self.first[node + 1])
             own = {x[len(path)] for x in along}
-            edges = np.array([e for e in range(lo, hi) if e not in own], dtype=np.int64)
-            if len(edges):
-                out.append((log + float(np.logaddexp.reduce(self.log_weight[edges])), path, edges))
+            if len(own) == 1:
+                mass = float(self.others[next(iter(own))])
+            else:
+                left = self._open(node, own)
+                mass = float(np.logaddexp.reduce(self.log_weight[left])) if left else -np.inf
+            if mass > -np.inf:
+                out.append((log + mass, path, node, own))
             for e in sorted(own):
-                further = [x for x in along if x[len(path)] == e]
                 if int(self.source[e]) >= self.starts:
+                    further = along if len(own) == 1 else [x for x in along if x[len(path)] == e]
                     todo.append((int(self.source[e]), (*path, e), log + float(self.log_weight[e]), further))
         return out
 
+    def _open(self, node: int, own: set[int]) -> list[int]:
+        return [e for e in range(int(self.first[node]), int(self.first[node + 1])) if e not in own]
+
     def log_rest(self, word: int, taken: list[tuple[int, ...]]) -> float:
         """The logarithm of what all paths of a word but those of ``taken`` weigh."""
         masses = [x[0] for x in self._leaving(word, taken)]
-        return float(np.logaddexp.reduce(masses)) if masses else -np.inf
+        top = max(masses, default=-np.inf)
+        return top + math.log(sum(math.exp(x - top) for x in masses)) if masses else -np.inf
 
     def draw_other(self, word: int, taken: list[tuple[int, ...]], dice: random.Random) -> tuple[tuple[int, ...], float]:
         """A path (edges from the end) that isn't one of ``taken``, drawn from the rest, and its
@@ -307,10 +320,11 @@ class Lattices:
 
         ways = self._leaving(word, taken)
         masses = np.array([x[0] for x in ways])
-        if not len(ways) or masses.max() == -np.inf:
+        if not ways:
             return (), -np.inf
-        _, path, edges = ways[chosen(masses)]
-        path = [*path, int(edges[chosen(self.log_weight[edges])])]
+        _, path, at, own = ways[chosen(masses)]
+        edges = self._open(at, own)
+        path = [*path, edges[chosen(self.log_weight[edges])]]
         node = int(self.source[path[-1]])
         while node >= self.starts:
             lo, hi = int(self.first[node]), int(self.first[node + 1])
