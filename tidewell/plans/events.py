@@ -150,3 +150,51 @@ def scan_reconciliation(spark, sf_dir):
 def spaced_streaks(spark, sf_dir):
     """Greedy chain of a user's times at least six hours apart, newest first, over all days."""
     return spaced_chains(load(spark, sf_dir, "events"), "user_id", "ts", 6)
+
+
+_SCANS = """scans AS (SELECT event_type AS source, CAST(min(event_id) AS BIGINT) AS scan, date_trunc('hour', ts) AS tm, count(*) FILTER (WHERE value > 70) AS observed, count(*) - count(*) FILTER (WHERE value < 0.5) AS known,
+    min(event_id) % 9 <> 1 AS terminal, min(event_id) % 13 = 2 AS limited, min(event_id) % 11 = 3 AS errored FROM events GROUP BY ALL)"""
+
+
+def scans(spark, sf_dir):
+    """Hours of each event type as scans of a source; see _SCANS for the same in SQL."""
+    first = F.min("event_id")
+    return load(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source"), F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("at")).agg(
+        first.alias("scan"), F.count_if(F.col("value") > 70).alias("observed"), (F.count("*") - F.count_if(F.col("value") < 0.5)).alias("known"),
+        (first % 9 != 1).alias("terminal"), (first % 13 == 2).alias("limited"), (first % 11 == 3).alias("errored"),
+    )
+
+
+_STATES = f"""WITH RECURSIVE {_SCANS}, n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY tm, scan) AS i,
+    CASE WHEN errored THEN 'failed' WHEN limited OR NOT terminal THEN 'partial' WHEN observed > 0 OR known = 0 THEN 'complete' ELSE 'empty' END AS kind FROM scans),
+  w(source, i, scan, tm, state, streak, times) AS (
+    SELECT DISTINCT source, 0::BIGINT, NULL::BIGINT, NULL::TIMESTAMP, NULL::VARCHAR, 0, CAST([] AS TIMESTAMP[]) FROM n
+    UNION ALL
+    SELECT source, i, scan, tm, CASE WHEN kind <> 'empty' THEN kind WHEN steps >= 3 THEN 'confirmed-empty' ELSE 'suspect-empty' END, CASE WHEN kind = 'empty' THEN steps ELSE 0 END,
+      CASE WHEN kind IN ('failed', 'partial') THEN times WHEN kind = 'complete' OR steps >= 3 THEN CAST([] AS TIMESTAMP[]) ELSE list_append(times, tm) END
+    FROM (SELECT n.source, n.i, n.scan, n.tm, n.kind, w.times,
+        CAST(len(list_reduce(list_prepend([n.tm], list_transform(list_reverse(w.times), lambda x: [x])), lambda acc, x: CASE WHEN acc[-1] - x[1] >= INTERVAL 6 HOUR THEN list_concat(acc, x) ELSE acc END)) AS INTEGER) AS steps
+      FROM w JOIN n ON n.source = w.source AND n.i = w.i + 1))
+"""
+
+
+@query(_STATES + "SELECT source, scan, state, streak FROM w WHERE i > 0")
+def scan_outcomes(spark, sf_dir):
+    """What every scan of a source may conclude: emptiness counts only after three scans six hours apart."""
+    from tidewell.operators.crawls import outcomes
+
+    return outcomes(scans(spark, sf_dir)).select("source", "scan", "state", "streak")
+
+
+@query(
+    _STATES
+    + """, c AS (SELECT DISTINCT source, tm FROM w WHERE state IN ('complete', 'confirmed-empty')), s AS (SELECT event_type AS source, user_id AS id, max(ts) AS tm FROM events GROUP BY ALL)
+    SELECT s.source, s.id, least(3, count(c.tm)) AS missed, count(c.tm) < 3 AS active FROM s LEFT JOIN c ON c.source = s.source AND c.tm > s.tm GROUP BY s.source, s.id"""
+)
+def missed_crawls(spark, sf_dir):
+    """Users of each source by how many of its complete scans missed them; three make them inactive."""
+    from tidewell.operators.crawls import missed_runs, outcomes
+
+    complete = outcomes(scans(spark, sf_dir)).where("may_remove").select("source", "at")
+    seen = load(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.col("user_id").alias("id"), F.col("ts").cast("timestamp_ntz").alias("at"))
+    return missed_runs(seen, complete)
