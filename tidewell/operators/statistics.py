@@ -164,3 +164,55 @@ def vacancy_snapshot(rows: DataFrame, scratch: Scratch) -> DataFrame:
         .unionByName(_long(tags, "tag", dimension="dimension", label="label", n="n"))
         .unionByName(_long(trend, "trend", deal="profession", dimension=F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss"), label="title", lowest="usd"))
     )
+
+
+#: Upper ends of ages and of years of experience, days of activity shown, and what isn't a profession.
+AGES = ((18, "<18"), (25, "18–24"), (35, "25–34"), (45, "35–44"), (55, "45–54"), (None, "55+"))
+YEARS, ACTIVE_DAYS, ANY_ROLE = (2, 4, 7, 11), 60, "Any Role"
+
+
+def candidate_snapshot(rows: DataFrame, now: Column, scratch: Scratch) -> DataFrame:
+    """Genders, ages, platforms, places, sectors, professions, activity of the last days, the median salary by experience (five buckets, empty ones
+    too) and the salary range by profession.
+
+    ``rows``: filtered current candidates (gender, age, provider, source, origin, city, country, sectors, professions, activity_at, salary_min_usd,
+    salary_max_usd, years). A salary of one end counts for both; the middle of a range counts for medians."""
+    low, high = F.coalesce("salary_min_usd", "salary_max_usd"), F.coalesce("salary_max_usd", "salary_min_usd")
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    bucket = F.when(F.col("years") < YEARS[0], 0)
+    for i, top in enumerate(YEARS[1:], 1):
+        bucket = bucket.when(F.col("years") < top, i)
+    age = F.when(F.col("age").isNull(), "__unknown__")
+    for top, name in AGES:
+        age = age.when(F.col("age") < top, name) if top else age.otherwise(name)
+    none = F.array().cast("array<string>")
+    base = scratch.put(rows.select(
+        F.when(F.col("gender").isin("female", "male"), F.col("gender")).otherwise("unknown").alias("gender"), age.alias("age"),
+        F.coalesce(blank("provider"), F.col("source"), F.col("origin"), F.lit("unknown")).alias("platform"), F.coalesce(blank("city"), F.col("country"), F.lit("__unknown__")).alias("location"),
+        F.coalesce("sectors", none).alias("sectors"), F.filter(F.coalesce("professions", none), lambda p: p != ANY_ROLE).alias("professions"), F.col("activity_at"),
+        F.least(low, high).cast("double").alias("low"), F.greatest(low, high).cast("double").alias("high"), ((low + high) / 2).cast("double").alias("pay"),
+        F.when(F.col("years").isNotNull(), bucket.otherwise(len(YEARS))).alias("bucket"),
+    ), "candidates")
+    tag = lambda kind, c: F.struct(F.lit(kind).alias("dimension"), c.alias("label"))
+    tags = F.concat(
+        F.array(*[tag(c, F.col(c)) for c in ("gender", "age", "platform", "location")]),
+        F.transform("sectors", lambda x: tag("sector", x)), F.transform("professions", lambda x: tag("profession", x)),
+    )
+    counts = base.select(F.inline(tags)).groupBy("dimension", "label").agg(F.count("*").alias("n"))
+    # Genders and ages are told even where nobody has them.
+    fixed = [("gender", g) for g in ("female", "male", "unknown")] + [("age", n) for _, n in AGES] + [("age", "__unknown__")]
+    shown = base.sparkSession.createDataFrame(fixed, "dimension string, label string")
+    missing = shown.join(counts, ["dimension", "label"], "left_anti").withColumn("n", F.lit(0).cast("long"))
+    recent = base.where((F.col("activity_at") >= now - F.expr(f"INTERVAL {ACTIVE_DAYS} DAYS")) & (F.col("activity_at") <= now))
+    activity = recent.groupBy(F.date_format("activity_at", "yyyy-MM-dd").alias("label")).agg(F.count("*").alias("n"))
+    paid = base.where("bucket IS NOT NULL AND pay IS NOT NULL").select("bucket", "pay")
+    medians = percentiles(paid, ["bucket"], "pay", [0.5], scratch)
+    buckets = base.sparkSession.range(len(YEARS) + 1).select(F.col("id").cast("int").alias("bucket"))
+    medians = buckets.join(medians, "bucket", "left").select(F.col("bucket").cast("string").alias("label"), F.coalesce("values", F.lit(0)).alias("priced"), F.col("p")[0].alias("median"))
+    ranges = base.where("low IS NOT NULL").select("low", "high", F.explode("professions").alias("label")).groupBy("label")
+    ranges = ranges.agg(F.count("*").alias("n"), F.min("low").alias("lowest"), F.max("high").alias("highest"))
+    return (
+        _long(counts.unionByName(missing), "tag", dimension="dimension", label="label", n="n").unionByName(_long(activity, "activity", label="label", n="n"))
+        .unionByName(_long(medians, "salary_by_experience", label="label", priced="priced", median="median"))
+        .unionByName(_long(ranges, "salary_by_profession", label="label", n="n", lowest="lowest", highest="highest"))
+    )

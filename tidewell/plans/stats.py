@@ -12,7 +12,7 @@ from tidewell.plans.registry import query
 from tidewell.plans.tables import LISTINGS, d4, listings
 from tidewell.operators import market, statistics
 from tidewell.operators.quantiles import percentiles
-from tidewell.plans.feeds import VACANCIES, vacancies
+from tidewell.plans.feeds import CANDIDATES, NOW_DATE, VACANCIES, candidates, vacancies
 from tidewell.session import Scratch, load
 
 _BOUNDS = " ".join(f"WHEN '{d}' THEN price_usd BETWEEN {lo} AND {hi}" for d, (lo, hi) in PLAUSIBLE_USD.items())
@@ -311,3 +311,32 @@ def market_segments(spark, sf_dir):
     })
     fresh = F.coalesce("created_at", "first_seen") >= F.lit("1996-01-01").cast("timestamp_ntz")
     return market.compare(rows, Scratch(spark), fresh)
+
+
+_AGE = "CASE WHEN age IS NULL THEN '__unknown__' " + " ".join(f"WHEN age < {t} THEN '{n}'" for t, n in statistics.AGES if t) + " ELSE '55+' END"
+_YEARS = "CASE " + " ".join(f"WHEN years < {t} THEN {i}" for i, t in enumerate(statistics.YEARS)) + " ELSE 4 END"
+_FIXED = ", ".join(f"('{d}', '{x}')" for d, x in [("gender", g) for g in ("female", "male", "unknown")] + [("age", n) for _, n in statistics.AGES] + [("age", "__unknown__")])
+
+
+@query(
+    CANDIDATES
+    + f""", f AS (SELECT *, CASE WHEN id % 5 = 2 THEN '' WHEN id % 5 = 3 THEN NULL ELSE 'board' || CAST(id % 3 AS VARCHAR) END AS provider, COALESCE(salary_min_usd, salary_max_usd) AS lo, COALESCE(salary_max_usd, salary_min_usd) AS hi,
+      [CASE WHEN id % 2 = 0 THEN 'trade' ELSE 'industry' END] AS sectors, CASE WHEN id % 8 = 0 THEN ['Any Role'] ELSE professions END AS roles FROM candidates WHERE active),
+  t AS (SELECT unnest([{{'d': 'gender', 'l': CASE WHEN gender IN ('female', 'male') THEN gender ELSE 'unknown' END}}, {{'d': 'age', 'l': {_AGE}}}, {{'d': 'platform', 'l': COALESCE(nullif(provider, ''), source, origin, 'unknown')}}, {{'d': 'location', 'l': COALESCE(nullif(city, ''), country, '__unknown__')}}]) AS x FROM f
+    UNION ALL SELECT unnest(list_transform(sectors, lambda s: {{'d': 'sector', 'l': s}})) FROM f UNION ALL SELECT unnest(list_transform(list_filter(roles, lambda s: s <> 'Any Role'), lambda s: {{'d': 'profession', 'l': s}})) FROM f),
+  c AS (SELECT x.d AS dimension, x.l AS label, count(*) AS n FROM t GROUP BY ALL), fixed(dimension, label) AS (VALUES {_FIXED}),
+  m AS (SELECT {_YEARS} AS bucket, count(*) AS k, quantile_cont((lo + hi) / 2, 0.5) AS mid FROM f WHERE years IS NOT NULL AND lo IS NOT NULL GROUP BY ALL),
+  r AS (SELECT unnest(list_filter(roles, lambda s: s <> 'Any Role')) AS label, least(lo, hi) AS a, greatest(lo, hi) AS b FROM f WHERE lo IS NOT NULL)
+SELECT 'tag' AS section, CAST(NULL AS VARCHAR) AS deal, dimension, label, n, {_SIX} FROM (SELECT * FROM c UNION ALL SELECT dimension, label, 0 FROM fixed WHERE (dimension, label) NOT IN (SELECT dimension, label FROM c))
+UNION ALL SELECT 'activity', NULL, NULL, strftime(activity_at, '%Y-%m-%d'), count(*), {_SIX} FROM f WHERE activity_at >= now - INTERVAL 60 DAYS AND activity_at <= now GROUP BY ALL
+UNION ALL SELECT 'salary_by_experience', NULL, NULL, CAST(g AS VARCHAR), NULL, COALESCE(k, 0), {_e("mid")}, NULL, NULL, NULL FROM generate_series(0, 4) s(g) LEFT JOIN m ON g = bucket
+UNION ALL SELECT 'salary_by_profession', NULL, NULL, label, count(*), NULL, NULL, NULL, {_e("min(a)")}, {_e("max(b)")} FROM r GROUP BY label"""
+)
+def candidate_snapshot(spark, sf_dir):
+    """The whole candidate statistics from one written base."""
+    k = F.col("id")
+    rows = candidates(spark, sf_dir).where("active").withColumns({
+        "provider": F.when(k % 5 == 2, "").when(k % 5 == 3, F.lit(None)).otherwise(F.concat(F.lit("board"), (k % 3).cast("string"))),
+        "sectors": F.array(F.when(k % 2 == 0, "trade").otherwise("industry")), "professions": F.when(k % 8 == 0, F.array(F.lit("Any Role"))).otherwise(F.col("professions")),
+    })
+    return _figures(statistics.candidate_snapshot(rows, F.lit(NOW_DATE).cast("timestamp_ntz"), Scratch(spark)))
