@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from tidewell.plans import changes, events, extraction, feeds, identity, listings, origins, people, rules, search, similar, stats, subjects, texts  # noqa: E402, F401
+from tidewell.plans import changes, clusters, events, extraction, feeds, identity, listings, origins, people, rules, search, similar, stats, subjects, texts  # noqa: E402, F401
