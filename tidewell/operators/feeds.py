@@ -8,6 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.money import UNITS_PER_USD
+from tidewell.functions.text import words
+
 
 def _lower(values: Sequence[str]) -> list[str]:
     return [v.lower() for v in values]
@@ -17,6 +20,19 @@ def _any_in(column: str, values: Sequence[str]) -> Column:
     return F.arrays_overlap(F.col(column), F.array(*[F.lit(v) for v in _lower(values)]))
 
 
+def holds_words(column: str, text: str) -> Column:
+    """Whether a text holds all words of another, whole and in any case; a query without words finds nothing."""
+    asked = F.array_distinct(words(F.lit(text)))
+    return (F.size(asked) > 0) & (F.size(F.array_except(asked, words(F.coalesce(F.col(column), F.lit(""))))) == 0)
+
+
+def has_key(keys: Sequence[str], source: str = "source", own: str = "source_id") -> Column:
+    """Whether (source, id) is among keys 'source:id', each taken apart at its first colon; an empty list holds none. Keys come with a request and are
+    literals of the plan; ``rules.pair_key`` joins a table of them."""
+    pairs = [k.partition(":")[::2] for k in keys]
+    return F.struct(F.col(source).cast("string"), F.col(own).cast("string")).isin(*[F.struct(F.lit(s), F.lit(i)) for s, i in pairs]) if pairs else F.lit(False)
+
+
 @dataclass(frozen=True)
 class JobFilter:
     """Options of a vacancy search; each that is unset lets every vacancy through, but for age (at most
@@ -43,16 +59,19 @@ class JobFilter:
     language: str | None = None
     language_level: str | None = None
     exclude_languages: Sequence[str] = ()
+    q: str | None = None
+    search_keys: Sequence[str] | None = None
 
     def where(self, now: Column) -> Column:
-        """Whether a vacancy passes."""
+        """Whether a vacancy passes. Friendly to foreigners has a meaning of its own where the US is among the countries."""
         days = min(self.max_age_days or 14, 14)
         parts = [F.col("active"), F.col("posted_at") >= now - F.expr(f"INTERVAL {days} DAYS")]
         for name, values in (("source", self.sources), ("country", self.countries)):
             if values:
                 parts.append(F.col(name).isin(*values))
         for name, value in (("remote", self.remote), ("work_mode", self.work_mode), ("relocation", self.relocation),
-                            ("employment_kind", self.employment_kind), ("foreigner_friendly", self.foreigner_friendly)):
+                            ("employment_kind", self.employment_kind),
+                            ("usa_foreigner_friendly" if self.foreigner_friendly and "US" in self.countries else "foreigner_friendly", self.foreigner_friendly)):
             if value is not None:
                 parts.append(F.col(name) == F.lit(value))
         if self.salary_min is not None:
@@ -80,6 +99,10 @@ class JobFilter:
             parts.append(F.array_contains("language_keys", key.lower()))
         if self.exclude_languages:
             parts.append(~_any_in("language_keys", self.exclude_languages))
+        if self.q:
+            parts.append(holds_words("search_text", self.q))
+        if self.search_keys is not None:
+            parts.append(has_key(self.search_keys))
         out = parts[0]
         for part in parts[1:]:
             out = out & part
@@ -103,15 +126,24 @@ class CandidateFilter:
     skills: Sequence[str] = ()
     languages: Sequence[str] = ()
     sources: Sequence[str] = field(default=())
+    salary_currency: str = "USD"
+    seniority: str | None = None
+    query: str | None = None
+    profile_id: str | None = None
+    public_id: int | None = None
+    #: Names that stand for a city, and professions for a group of them, both in lower case.
+    city_aliases: dict[str, str] = field(default_factory=dict)
+    profession_groups: dict[str, Sequence[str]] = field(default_factory=dict)
 
     def where(self, now: Column) -> Column:
-        """Whether a candidate passes."""
+        """Whether a candidate passes. Bounds of a salary are in its currency; one of an unknown currency doesn't limit."""
         created = F.col("created_at")
         out = F.col("active") & (created >= now - F.expr("INTERVAL 3 MONTHS")) & (created <= now + F.expr("INTERVAL 48 HOURS"))
         if self.countries:
             out &= F.col("country").isin(*[c.upper() for c in self.countries])
         if self.city:
-            out &= F.lower("city") == self.city.lower()
+            named = self.city.strip().lower()
+            out &= F.lower("city") == self.city_aliases.get(named, named).lower()
         if self.remote is not None:
             out &= F.col("remote") == self.remote
         for name, low, high in (("years", self.experience_min, None), ("age", self.age_min, self.age_max)):
@@ -119,19 +151,29 @@ class CandidateFilter:
                 out &= F.col(name) >= low
             if high is not None:
                 out &= F.col(name) <= high
-        if self.salary_from is not None:
-            out &= F.coalesce("salary_max_usd", "salary_min_usd") >= self.salary_from
-        if self.salary_to is not None:
-            out &= F.coalesce("salary_min_usd", "salary_max_usd") <= self.salary_to
+        units = UNITS_PER_USD.get(self.salary_currency.upper())
+        if self.salary_from is not None and units:
+            out &= F.coalesce("salary_max_usd", "salary_min_usd") >= self.salary_from / units
+        if self.salary_to is not None and units:
+            out &= F.coalesce("salary_min_usd", "salary_max_usd") <= self.salary_to / units
         if self.gender:
             out &= F.col("gender") == self.gender.lower()
-        for name, values in (("professions", self.professions), ("languages", self.languages)):
+        trades = [t for p in self.professions for t in (p, *self.profession_groups.get(p.lower(), ()))]
+        for name, values in (("professions", trades), ("languages", self.languages)):
             if values:
                 out &= _any_in(name, values)
         for skill in _lower(self.skills):
             out &= F.array_contains("skills", skill)
         if self.sources:
             out &= F.col("source").isin(*_lower(self.sources)) | F.col("origin").isin(*_lower(self.sources))
+        if self.seniority:
+            out &= F.col("seniority") == self.seniority.strip().lower()
+        if self.query:
+            out &= holds_words("search_text", self.query)
+        if self.profile_id:
+            out &= F.col("source_id") == self.profile_id
+        if self.public_id is not None:
+            out &= F.col("public_id") == self.public_id
         return out
 
 

@@ -22,7 +22,8 @@ VACANCIES = f"""WITH vacancies AS (
     o_orderkey % 3 = 2 AS remote, CASE o_orderkey % 3 WHEN 0 THEN 'office' WHEN 1 THEN 'hybrid' ELSE 'remote' END AS work_mode,
     CASE WHEN o_orderkey % 5 = 0 THEN 'offered' END AS relocation, CASE WHEN o_orderkey % 8 < 6 THEN 'full' ELSE 'part' END AS employment_kind,
     CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS salary_usd, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 12 END AS years,
-    o_orderkey % 10 = 0 AS no_experience, CASE WHEN o_orderkey % 13 = 0 THEN 'gambling' END AS risk_category, o_orderkey % 6 = 0 AS foreigner_friendly,
+    o_orderkey % 10 = 0 AS no_experience, CASE WHEN o_orderkey % 13 = 0 THEN 'gambling' END AS risk_category, o_orderkey % 6 = 0 AS foreigner_friendly, o_orderkey % 9 = 0 AS usa_foreigner_friendly,
+    CAST(o_orderkey AS VARCHAR) || ':x' AS source_id, n_name || ' / ' || c_mktsegment || ' ' || o_orderpriority || ' ' || c_name AS search_text,
     [['sql', 'java', 'go', 'excel', 'sales'][CAST(o_orderkey % 5 + 1 AS INTEGER)], ['sql', 'java', 'go', 'excel', 'sales'][CAST(o_custkey % 5 + 1 AS INTEGER)]] AS skills,
     CASE o_orderkey % 4 WHEN 0 THEN ['en', 'en:b2'] WHEN 1 THEN ['de', 'de:c1', 'en'] WHEN 2 THEN ['uk'] ELSE CAST([] AS VARCHAR[]) END AS language_keys,
     o_orderdate AS posted_at, o_orderstatus <> 'P' AS active, TIMESTAMP '{NOW_DATE}' AS now
@@ -45,6 +46,8 @@ def vacancies(spark, sf_dir):
         F.when(k % 5 == 0, "offered").alias("relocation"), F.when(k % 8 < 6, "full").otherwise("part").alias("employment_kind"),
         F.when(k % 3 != 0, F.col("o_totalprice")).alias("salary_usd"), F.when(k % 7 != 0, k % 12).alias("years"),
         (k % 10 == 0).alias("no_experience"), F.when(k % 13 == 0, "gambling").alias("risk_category"), (k % 6 == 0).alias("foreigner_friendly"),
+        (k % 9 == 0).alias("usa_foreigner_friendly"), F.concat(k.cast("string"), F.lit(":x")).alias("source_id"),
+        F.concat_ws(" ", "n_name", F.lit("/"), "c_mktsegment", "o_orderpriority", "c_name").alias("search_text"),
         F.array(F.element_at(names, (k % 5 + 1).cast("int")), F.element_at(names, (F.col("o_custkey") % 5 + 1).cast("int"))).alias("skills"),
         keys.when(k % 4 == 2, F.array(F.lit("uk"))).otherwise(F.array().cast("array<string>")).alias("language_keys"),
         F.col("o_orderdate").alias("posted_at"), (F.col("o_orderstatus") != "P").alias("active"),
@@ -86,6 +89,12 @@ JOB_OPTIONS = {
     "language": ({"language": "en"}, f"{_USUAL} AND list_contains(language_keys, 'en')"),
     "language_level": ({"language": "de", "language_level": "C1"}, f"{_USUAL} AND list_contains(language_keys, 'de:c1')"),
     "exclude_languages": ({"exclude_languages": ["uk", "de"]}, f"{_USUAL} AND NOT list_has_any(language_keys, ['uk', 'de'])"),
+    "usa_friendly": ({"countries": ["US", "NAT"], "foreigner_friendly": True}, f"{_USUAL} AND country IN ('US', 'NAT') AND usa_foreigner_friendly"),
+    "usa_unfriendly": ({"countries": ["US", "NAT"], "foreigner_friendly": False}, f"{_USUAL} AND country IN ('US', 'NAT') AND NOT foreigner_friendly"),
+    "q": ({"q": "Household, high"}, f"{_USUAL} AND list_has_all(regexp_split_to_array(lower(search_text), '[^\\p{{L}}\\p{{N}}]+'), ['household', 'high'])"),
+    "q_without_words": ({"q": " -- "}, "false"),
+    "search_keys": ({"search_keys": [f"s{i % 4}:{i}:x" for i in range(0, 3000, 3)] + ["s1:2:x", "nocolon"]}, f"{_USUAL} AND id < 3000 AND id % 3 = 0"),
+    "no_search_keys": ({"search_keys": []}, "false"),
 }
 
 
@@ -177,7 +186,8 @@ CANDIDATES = f"""WITH candidates AS (
     CASE o_orderkey % 3 WHEN 0 THEN 'female' WHEN 1 THEN 'male' END AS gender, [lower(c_mktsegment), 'p' || CAST(o_orderkey % 3 AS VARCHAR)] AS professions,
     [['sql', 'java', 'go', 'excel', 'sales'][CAST(o_orderkey % 5 + 1 AS INTEGER)], ['sql', 'java', 'go', 'excel', 'sales'][CAST(o_custkey % 5 + 1 AS INTEGER)]] AS skills,
     CASE WHEN o_orderkey % 2 = 0 THEN ['en', 'de'] ELSE ['uk'] END AS languages, 's' || CAST(o_orderkey % 4 AS VARCHAR) AS source, 's' || CAST(o_custkey % 4 AS VARCHAR) AS origin,
-    CASE WHEN o_orderkey % 9 <> 0 THEN o_orderdate END AS activity_at, o_orderdate AS created_at, o_orderstatus <> 'P' AS active, TIMESTAMP '{NOW_DATE}' AS now
+    CASE WHEN o_orderkey % 9 <> 0 THEN o_orderdate END AS activity_at, o_orderdate AS created_at, o_orderstatus <> 'P' AS active, TIMESTAMP '{NOW_DATE}' AS now,
+    CASE o_orderkey % 4 WHEN 0 THEN 'junior' WHEN 1 THEN 'senior' END AS seniority, c_name || ' ' || c_mktsegment || ' ' || n_name AS search_text, 'p-' || CAST(o_orderkey AS VARCHAR) AS source_id, o_orderkey AS public_id
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
 """
 
@@ -197,6 +207,8 @@ def candidates(spark, sf_dir):
         F.when(k % 2 == 0, F.array(F.lit("en"), F.lit("de"))).otherwise(F.array(F.lit("uk"))).alias("languages"),
         F.concat(F.lit("s"), (k % 4).cast("string")).alias("source"), F.concat(F.lit("s"), (c % 4).cast("string")).alias("origin"),
         F.when(k % 9 != 0, F.col("o_orderdate")).alias("activity_at"), F.col("o_orderdate").alias("created_at"), (F.col("o_orderstatus") != "P").alias("active"),
+        F.when(k % 4 == 0, "junior").when(k % 4 == 1, "senior").alias("seniority"), F.concat_ws(" ", "c_name", "c_mktsegment", "n_name").alias("search_text"),
+        F.concat(F.lit("p-"), k.cast("string")).alias("source_id"), k.alias("public_id"),
     )
 
 
@@ -215,6 +227,14 @@ CANDIDATE_OPTIONS = {
     "skills": ({"skills": ["sql", "Java"]}, f"{_FRESH} AND list_has_all(skills, ['sql', 'java'])"),
     "languages": ({"languages": ["DE"]}, f"{_FRESH} AND list_has_any(languages, ['de'])"),
     "sources": ({"sources": ["S1"]}, f"{_FRESH} AND (source = 's1' OR origin = 's1')"),
+    "city_alias": ({"city": " Third City", "city_aliases": {"third city": "nation_3"}}, f"{_FRESH} AND city = 'NATION_3'"),
+    "currency": ({"salary_from": 100000.0, "salary_to": 180000.0, "salary_currency": "eur"}, f"{_FRESH} AND coalesce(salary_max_usd, salary_min_usd) >= 100000 / 0.9::DOUBLE AND coalesce(salary_min_usd, salary_max_usd) <= 180000 / 0.9::DOUBLE"),
+    "unknown_currency": ({"salary_from": 1e9, "salary_currency": "ABC"}, _FRESH),
+    "profession_group": ({"professions": ["Makers"], "profession_groups": {"makers": ("building", "p1")}}, f"{_FRESH} AND list_has_any(professions, ['makers', 'building', 'p1'])"),
+    "seniority": ({"seniority": " Senior"}, f"{_FRESH} AND seniority = 'senior'"),
+    "query": ({"query": "household nation 3"}, f"{_FRESH} AND list_has_all(regexp_split_to_array(lower(search_text), '[^\\p{{L}}\\p{{N}}]+'), ['household', 'nation', '3'])"),
+    "profile_id": ({"profile_id": "p-9"}, f"{_FRESH} AND source_id = 'p-9'"),
+    "public_id": ({"public_id": 10}, f"{_FRESH} AND public_id = 10"),
 }
 
 
