@@ -50,11 +50,6 @@ def test_history_cycles_and_sessions(spark):
     assert [r.session for r in events.sessions(df, "key", "ts", "tie", "2 hours").orderBy("tie").collect()] == [1, 1, 1, 1, 2, 2, 2, 2]
 
 
-def test_spaced_streak_is_greedy(spark):
-    df = spark.createDataFrame([([at(0), at(5), at(7), at(12), at(14)],), ([],)], "times array<timestamp_ntz>")
-    assert [r.n for r in df.select(events.spaced_streak(F.col("times")).alias("n")).collect()] == [3, 0]
-
-
 def test_evidence_terms_are_rounded_one_by_one(spark):
     rows = [("a", "risk", "r1", 1.0, 1, "open", False), ("a", "risk", "r2", 0.35, 2, "confirmed", True), ("a", "trust", "t", 1.0, 3, "dismissed", False)]
     df = spark.createDataFrame(rows, "k string, polarity string, reason string, weight double, independent int, review string, stale boolean")
@@ -127,8 +122,6 @@ def test_sources(spark, tmp_path):
     assert (row.phone, row.note, row.gone) == ("1,2", 'say "hi"', None)
     pages = {0: [(1,)], 1: [(2,)], 2: [(1,)]}
     assert [p for p, _ in readers.crawl_pages(lambda n: pages.get(n, []))] == [0, 1]
-    spark.dataSource.register(readers.PagedSource)
-    assert spark.read.format("tidewell_pages").option("pages", 3).option("rows", 4).load().count() == 12
 
 
 def _stream(spark, tmp_path, small):

@@ -42,12 +42,6 @@ def band(ratio: Column) -> Column:
     return out.otherwise("red")
 
 
-def annual_usd(amount: Column, period: Column, hours: int = 2080, days: int = 260) -> Column:
-    """Salary by the year; null for an unknown period or an amount that isn't positive."""
-    times = lookup(F.lower(period), {"hour": hours, "day": days, "week": 52, "month": 12, "year": 1})
-    return F.when(amount > 0, amount * times)
-
-
 #: Currencies whose yearly figures are taken as such, and what a salary can be.
 HARD_CURRENCIES = ("USD", "EUR", "GBP", "CAD", "AUD", "CHF", "PLN", "JPY")
 HOURS_PER_YEAR, MONTHS_PER_YEAR = 12 * 160, 12

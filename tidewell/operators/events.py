@@ -28,7 +28,7 @@ def price_delta(old: Column, new: Column, old_currency: Column, new_currency: Co
     comparable = old_currency.eqNullSafe(new_currency) & (old > 0)
     ratio = F.round(((new - old) / old).cast("decimal(20,8)"), 4).cast("double")
     way = F.when(new > old, "up").when(new < old, "down").otherwise("same")
-    return F.when(comparable, F.struct(ratio.alias("ratio"), way.alias("direction")))
+    return F.when(comparable, F.struct((new - old).alias("amount"), ratio.alias("ratio"), way.alias("direction")))
 
 
 def sessions(rows: DataFrame, key: str, time: str, tie: str, gap: str) -> DataFrame:
@@ -58,19 +58,6 @@ def cycles(rows: DataFrame, key: str, time: str, tie: str, state: str, gone: str
     return out.withColumn("flagged", F.col("cycles") >= 3)
 
 
-def spaced_streak(times: Column, hours: int = 6) -> Column:
-    """Length of the greedy chain of times, newest first, each at least so many hours
-    before the one taken last."""
-    seconds = F.transform(F.sort_array(times, asc=False), lambda t: F.unix_timestamp(t.cast("timestamp")))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("n"))
-
-    def step(acc: Column, t: Column) -> Column:
-        taken = acc["last"].isNull() | (acc["last"] - t >= hours * 3600)
-        return F.struct(F.when(taken, t).otherwise(acc["last"]).alias("last"), (acc["n"] + taken.cast("int")).alias("n"))
-
-    return F.aggregate(seconds, start, step, lambda acc: acc["n"])
-
-
 def crawl_state(observed: Column, known: Column, empty_streak: Column, complete: Column) -> Column:
     """What a crawl's result allows: confirmed empty needs three spaced empty scans, and a
     removal of over nine tenths of the known rows is blocked."""

@@ -63,8 +63,17 @@ def between(value: Column, bounds: tuple[float | None, float | None], tolerance:
 
 
 def public(rows: DataFrame) -> DataFrame:
-    """Rows that may be shown: open and not commercial."""
-    return rows.where(~F.coalesce(F.col("status"), F.lit("")).isin(*CLOSED) & ~F.coalesce(F.col("commercial"), F.lit(False)))
+    """Rows that may be shown: active, open, not commercial, an offer and not a search, and from a source other than 'custom' unless they are curated. A table
+    without one of the columns active, listing_kind or curated has no row that fails by it."""
+    shown = ~F.coalesce(F.col("status"), F.lit("")).isin(*CLOSED) & ~F.coalesce(F.col("commercial"), F.lit(False))
+    if "active" in rows.columns:
+        shown = shown & F.coalesce(F.col("active"), F.lit(False))
+    if "listing_kind" in rows.columns:
+        shown = shown & (F.coalesce(F.col("listing_kind"), F.lit("propertyOffer")) != "propertyWanted")
+    if "source" in rows.columns:
+        curated = F.coalesce(F.col("curated"), F.lit(False)) if "curated" in rows.columns else F.lit(False)
+        shown = shown & (~F.col("source").eqNullSafe(F.lit("custom")) | curated)
+    return rows.where(shown)
 
 
 def fresh(rows: DataFrame, now: str, days: int = MOST_AGE_DAYS, cap: int = MOST_AGE_DAYS) -> DataFrame:

@@ -198,3 +198,19 @@ def missed_crawls(spark, sf_dir):
     complete = outcomes(scans(spark, sf_dir)).where("may_remove").select("source", "at")
     seen = load(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.col("user_id").alias("id"), F.col("ts").cast("timestamp_ntz").alias("at"))
     return missed_runs(seen, complete)
+
+
+@query(
+    """WITH h AS (SELECT o_orderkey AS id, o_totalprice AS new, lag(o_totalprice) OVER w AS old, CASE WHEN o_orderkey % 9 = 0 THEN 'EUR' ELSE 'USD' END AS nc, lag(CASE WHEN o_orderkey % 9 = 0 THEN 'EUR' ELSE 'USD' END) OVER w AS oc FROM orders
+      WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+    SELECT id, floor((new - old) * 100 + 0.5) / 100 AS amount, CAST(round(CAST((new - old) / old AS DECIMAL(20,8)), 4) AS DOUBLE) AS ratio, CASE WHEN new > old THEN 'up' WHEN new < old THEN 'down' ELSE 'same' END AS direction FROM h WHERE old > 0 AND nc = oc"""
+)
+def price_changes(spark, sf_dir):
+    """Every change of a contact's price against the one before, in the same currency: amount, ratio and direction."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    currency = F.when(F.col("o_orderkey") % 9 == 0, "EUR").otherwise("USD")
+    rows = load(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("new"), F.lag("o_totalprice").over(w).alias("old"), currency.alias("nc"), F.lag(currency).over(w).alias("oc")
+    )
+    told = rows.select("id", E.price_delta(F.col("old"), F.col("new"), F.col("oc"), F.col("nc")).alias("d")).where("d IS NOT NULL")
+    return told.select("id", (F.floor(F.col("d.amount") * 100 + 0.5) / 100).alias("amount"), "d.ratio", "d.direction")

@@ -379,3 +379,49 @@ def crawl_deactivation(spark, sf_dir):
     """Listings of one source and country not seen since the crawl began are no longer active."""
     missed = (F.col("source") == "s1") & (F.col("country") == "ASIA") & (F.col("first_seen") < F.lit("1998-01-01").cast("timestamp_ntz"))
     return listings(spark, sf_dir).select("id", ((F.col("status") == "active") & ~missed).alias("active"))
+
+
+_CURRENT = """, k AS (SELECT id, created_at, source, active, CASE id % 4 WHEN 0 THEN 'User' || CAST(id % 700 AS VARCHAR) || '@Mail.example' WHEN 1 THEN '' END AS contact, CASE WHEN id % 8 = 2 THEN 'web' ELSE 'board' END AS origin,
+    city || '|' || COALESCE(CAST(age AS VARCHAR), '') AS rest, CASE WHEN id % 8 = 6 THEN 'See https://x.example/' || CAST(id AS VARCHAR) || ' Experienced ' || lower(city) || ' person who has worked in ' || city || ' for years' ELSE 'short' END AS told,
+    COALESCE(name, '') AS name FROM candidates),
+  p AS (SELECT *, regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', '', 'g') AS plain, substr(regexp_replace(regexp_replace(lower(told), 'https?://[^ \\t\\n\\r\\f]+', '', 'g'), '[^a-zа-яёіїґ0-9]+', '', 'g'), 1, 400) AS letters FROM k),
+  d AS (SELECT *, CASE WHEN COALESCE(contact, '') <> '' THEN 'c:' || lower(contact) WHEN origin = 'web' AND length(plain) >= 4 THEN 'p:' || lower(source) || ':' || plain || ':' || rest WHEN length(letters) >= 40 THEN 't:' || letters
+    ELSE 'k:' || source || ':' || CAST(id AS VARCHAR) END AS dkey FROM p)"""
+
+
+def fingerprinted(spark, sf_dir):
+    """Candidates with their fingerprint; see _CURRENT for the same in SQL."""
+    from tidewell.operators.identity import candidate_key
+
+    k, text = F.col("id"), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    contact = F.when(k % 4 == 0, text("User", (k % 700).cast("string"), "@Mail.example")).when(k % 4 == 1, "")
+    told = text("See https://x.example/", k.cast("string"), " Experienced ", F.lower("city"), " person who has worked in ", F.col("city"), " for years")
+    rest = text(F.col("city"), "|", F.coalesce(F.col("age").cast("string"), F.lit("")))
+    key = candidate_key(contact, F.when(k % 8 == 2, "web").otherwise("board"), F.col("source"), F.coalesce("name", F.lit("")), rest, F.when(k % 8 == 6, told).otherwise("short"), k.cast("string"))
+    return candidates(spark, sf_dir).select("id", "created_at", "active", key.alias("dkey"))
+
+
+@query(CANDIDATES + _CURRENT + "SELECT id, dkey FROM d")
+def candidate_keys(spark, sf_dir):
+    """The fingerprint of every candidate."""
+    return fingerprinted(spark, sf_dir).select("id", "dkey")
+
+
+@query(
+    CANDIDATES
+    + _CURRENT
+    + """, b AS (SELECT id, created_at, CASE WHEN id % 13 = 5 THEN 'c:merged' || CAST(id % 90 AS VARCHAR) ELSE dkey END AS dkey FROM d WHERE active AND id % 13 <> 7)
+    SELECT id, dkey FROM b QUALIFY row_number() OVER (PARTITION BY dkey ORDER BY created_at DESC, id DESC) = 1"""
+)
+def current_candidates(spark, sf_dir):
+    """The current candidate of every fingerprint after a batch that moves some to other keys and closes some: old and new keys are elected anew."""
+    from tidewell.operators.readmodel import KeptWinners
+    from tidewell.session import shared_path
+
+    rows = fingerprinted(spark, sf_dir)
+    table = KeptWinners(shared_path(spark, "candidates"), order=("created_at DESC", "id DESC"), parts=16)
+    table.create(rows.where("active").drop("active"))
+    k = F.col("id") % 13
+    batch = rows.where(k.isin(5, 6, 7) & F.col("active")).withColumn("dkey", F.when(k == 5, F.concat(F.lit("c:merged"), (F.col("id") % 90).cast("string"))).otherwise(F.col("dkey")))
+    table.apply(batch.withColumn("gone", k == 7).drop("active"))
+    return table.winners(spark).select("id", "dkey")

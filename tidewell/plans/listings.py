@@ -235,3 +235,18 @@ def kept_winners(spark, sf_dir):
 def kept_feed_page(spark, sf_dir):
     """The feed's first page, read from the kept winners without any election; the limit is the page."""
     return L.page(kept_feed(spark, sf_dir).winners(spark), "newest", 60).select(*SHOWN, "created_at")
+
+
+@query(
+    LISTINGS
+    + """SELECT id FROM (SELECT *, id % 6 <> 2 AS active, CASE WHEN id % 8 = 3 THEN 'propertyWanted' WHEN id % 8 = 4 THEN NULL ELSE 'propertyOffer' END AS kind, CASE WHEN source = 's3' THEN 'custom' ELSE source END AS src, CASE WHEN id % 5 = 1 THEN true WHEN id % 5 = 2 THEN false END AS curated FROM listings)
+    WHERE active AND status NOT IN ('sold', 'rented', 'closed', 'outdated') AND NOT commercial AND COALESCE(kind, 'propertyOffer') <> 'propertyWanted' AND (src <> 'custom' OR COALESCE(curated, false))"""
+)
+def public_rows(spark, sf_dir):
+    """All rows that may be shown: active offers, and curated ones of the custom source."""
+    k = F.col("id")
+    rows = listings(spark, sf_dir).withColumns({
+        "active": k % 6 != 2, "listing_kind": F.when(k % 8 == 3, "propertyWanted").when(k % 8 == 4, F.lit(None)).otherwise("propertyOffer"),
+        "source": F.when(F.col("source") == "s3", "custom").otherwise(F.col("source")), "curated": F.when(k % 5 == 1, True).when(k % 5 == 2, False),
+    })
+    return L.public(rows).select("id")

@@ -7,7 +7,6 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _ITEM = r"(?s)<item>(.*?)</item>"
 
@@ -72,30 +71,3 @@ def crawl_pages(fetch: Callable[[int], list[tuple]], first: int = 0, most: int =
             raise RuntimeError(f"more than {most} pages")
         seen.add(mark)
         yield page, items
-
-
-class PagedSource(DataSource):
-    """Batch source of numbered pages: option ``pages`` and ``rows`` say how many there are;
-    a partition reads one page, so a crawl restarts page by page."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "tidewell_pages"
-
-    def schema(self) -> str:
-        return "page int, item long"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _PagedReader(int(self.options.get("pages", 1)), int(self.options.get("rows", 1)))
-
-
-class _PagedReader(DataSourceReader):
-    def __init__(self, pages: int, rows: int):
-        self.pages, self.rows = pages, rows
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(i) for i in range(self.pages)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        start = partition.value * self.rows
-        yield from ((partition.value, start + i) for i in range(self.rows))
