@@ -118,7 +118,8 @@ def remove_repeats(
     ``removed_chars`` (code points) added.
 
     A span's first occurrence is in the document with the smallest doc_id that has it, at
-    its first place there. A document of fewer than ``span`` sentences has no spans and stays
+    its first place there. A run of ``span`` sentences with fewer than ``least_words`` words together is no span of
+    its own, only part of longer ones. A document of fewer than ``span`` sentences has no spans and stays
     as it is, as do null and empty texts. Rows are told apart by a number of their own: those that
     share a doc_id, or have none (null comes first), or are equal in all columns are different
     documents, and the first of them in the table's order keeps the span. All columns of ``docs``
@@ -127,7 +128,7 @@ def remove_repeats(
 
     The rows are written once, numbered. Then only hashes and numbers meet: the first owner of a
     hash is an aggregate with map-side combine, repeated hashes are written, and the join with them
-    is between plain exchanges, so a passage that a third of the documents share is split among tasks.
+    has an aggregate on one side, which adaptive execution can't split: a passage that a third of the documents share is one task's rows of numbers.
     Positions to cut are gathered per row. Texts are shuffled once, to meet their positions. Two spans
     with the same 64-bit hash are taken to be equal.
     """
