@@ -302,7 +302,7 @@ def find(docs: DataFrame) -> DataFrame:
     A null or empty text has no span: counts of 0, the hash of the empty string, empty ``spans``. Rows are independent, so null and
     repeated doc_ids each keep their row, and other columns take no part, whatever their names. Texts
     are read whole. An empty table, or one without certain spans of a kind, fits nothing and adds nothing. Spans (without
-    texts) are written once to the shared folder and removed when the counts and the result are written."""
+    texts) are written once to the shared folder, where the result is read from."""
     scratch = Scratch(docs.sparkSession)
     found = scratch.put(spans_of(docs), "spans")
     try:
