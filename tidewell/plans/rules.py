@@ -118,12 +118,12 @@ def last_wins_first_place(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_suppkey) - 1 AS place FROM supplier WHERE s_suppkey % 7 <> 3), n AS (SELECT count(*) AS n FROM s)
+    """WITH s AS (SELECT s_suppkey * 3 + s_suppkey % 2 AS id, row_number() OVER (ORDER BY s_suppkey) - 1 AS place FROM supplier), n AS (SELECT count(*) AS n FROM s)
     SELECT id FROM s, n WHERE n <= 12 OR (place - (28800001 // 30 * 12) % n + n) % n < 12"""
 )
 def rotating_targets(spark, sf_dir):
     """The crawl targets whose turn it is."""
-    targets = load(spark, sf_dir, "supplier").where("s_suppkey % 7 <> 3").select(F.col("s_suppkey").alias("id"))  # a list with gaps
+    targets = load(spark, sf_dir, "supplier").select(F.expr("s_suppkey * 3 + s_suppkey % 2").alias("id"))  # ids with gaps
     placed = R.placed(targets, ["id"], Scratch(spark))
     return R.rotating(placed, F.col("place"), 28_800_001).select("id")
 
