@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.keys import hamming
+from tidewell.functions.keys import half
 from tidewell.functions.text import jaccard
 
 BANDS = 8
 MOST_BITS = 7
+#: Members of a bucket that a task compares with as many others.
+CHUNK = 16384
 CHROME_LISTINGS = 40
 
 
@@ -19,10 +23,38 @@ def without_chrome(rows: DataFrame, hash_column: str, owner: str, most: int = CH
     return rows.join(common.select(hash_column), hash_column, "left_anti")
 
 
-def banded(rows: DataFrame, hash_column: str) -> DataFrame:
-    """A row for each of the eight bytes of the hash: (band, value)."""
-    parts = [F.struct(F.lit(i).alias("band"), F.substring(hash_column, 2 * i + 1, 2).alias("value")) for i in range(BANDS)]
-    return rows.select("*", F.explode(F.array(*parts)).alias("b")).select("*", "b.band", "b.value").drop("b")
+def _block_pairs(most_bits: int):
+    """For the members of two chunks of a bucket, one block: (a, b, bits) of the pairs within ``most_bits`` that share no band before this one."""
+
+    def pairs(key: tuple, table: pa.Table) -> pa.Table:
+        band, low, high = key[0].as_py(), key[2].as_py(), key[3].as_py()
+        hashes, chunks = table.column("h").to_numpy().view(np.uint64), table.column("chunk").to_numpy()
+        # Those that agree on all bands before this one have met there.
+        before = hashes >> np.uint64(64 - 8 * band) if band else np.arange(len(hashes), dtype=np.uint64)
+        order = np.argsort(before, kind="stable")
+        hashes, chunks, before = hashes[order], chunks[order], before[order]
+        left = np.flatnonzero(chunks == low)
+        right = left if low == high else np.flatnonzero(chunks == high)
+        y = hashes[right]
+        ends = np.searchsorted(before[right], before[left], "right")
+        starts = np.searchsorted(before[right], before[left], "left")
+        xs, ys = [], []
+        for i, x in enumerate(left):
+            # within one chunk only those that stand after; between two, all but those that have met
+            for part in (slice(ends[i], None),) if low == high else (slice(0, starts[i]), slice(ends[i], None)):
+                near = np.flatnonzero(np.bitwise_count(y[part] ^ hashes[x]) <= most_bits)
+                xs.append(np.full(len(near), x))
+                ys.append(right[near + (part.start or 0)])
+        xs, ys = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (xs, ys))
+        differ = hashes[xs] ^ hashes[ys]
+        once = np.ones(len(xs), bool)
+        for i in range(band):
+            once &= (differ >> np.uint64(56 - 8 * i)) & np.uint64(255) != 0
+        xs, ys, differ = xs[once], ys[once], differ[once]
+        ids = table.column("id")
+        return pa.table({"x": ids.take(pa.array(order[xs])), "y": ids.take(pa.array(order[ys])), "bits": np.bitwise_count(differ).astype(np.int32)})
+
+    return pairs
 
 
 def near_pairs(rows: DataFrame, id_column: str, hash_column: str, most_bits: int = MOST_BITS) -> DataFrame:
@@ -30,15 +62,25 @@ def near_pairs(rows: DataFrame, id_column: str, hash_column: str, most_bits: int
     differing bits than bands, two hashes share a band, so none is lost.
 
     Equal hashes are joined by hash classes first, so copies meet once: pairs are
-    between classes' members only where the classes are near.
+    between classes' members only where the classes are near. A pair comes from the first band that it shares. The members
+    of a bucket (there are at most 2,048) are dealt to chunks of some ``CHUNK``; a task compares two chunks, so no task holds a bucket.
     """
-    classes = rows.groupBy(hash_column).agg(F.min(id_column).alias("id"))
-    left = banded(classes, hash_column).alias("x")
-    right = banded(classes, hash_column).alias("y")
-    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.id") < F.col("y.id"))
-    bits = hamming(F.col(f"x.{hash_column}"), F.col(f"y.{hash_column}"))
-    met = left.join(right, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), bits.alias("bits"))
-    return met.where(F.col("bits") <= most_bits).distinct()
+    if most_bits >= BANDS:
+        raise ValueError(f"bands meet pairs of fewer than {BANDS} differing bits")
+    classes = rows.where(F.col(hash_column).isNotNull()).groupBy(hash_column).agg(F.min(id_column).alias("id"))
+    number = F.shiftleft(half(F.col(hash_column), False), 32).bitwiseOR(half(F.col(hash_column), True))
+    each = classes.select("id", number.alias("h"))
+    parts = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("h", 56 - 8 * i).bitwiseAND(F.lit(255)).cast("int").alias("value")) for i in range(BANDS)]
+    dealt = each.select("id", "h", F.inline(F.array(*parts)))
+    # One row for each bucket: 2,048 at most, whatever the table.
+    sizes = dealt.groupBy("band", "value").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    chunked = dealt.join(F.broadcast(sizes), ["band", "value"]).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    blocks = chunked.select("id", "h", "band", "value", "chunk", other)
+    blocks = blocks.select("id", "h", "chunk", "band", "value", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+    kind = rows.schema[id_column].dataType.simpleString()
+    met = blocks.groupBy("band", "value", "low", "high").applyInArrow(_block_pairs(most_bits), f"x {kind}, y {kind}, bits int")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "bits")
 
 
 def prefix_pairs(sets: DataFrame, least: float) -> DataFrame:
