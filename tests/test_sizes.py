@@ -18,3 +18,10 @@ def test_hashes_of_one_half_meet_in_chunks(spark, monkeypatch):
     far = [[(a ^ b).bit_count() for b in hashes] for a in hashes]
     want = sorted((i, j, far[i][j]) for i in range(len(hashes)) for j in range(i + 1, len(hashes)) if far[i][j] <= 7)
     assert got == want and len(want) > 500
+
+
+def test_a_vector_without_label_has_no_links(spark, small, tmp_path):
+    rows = spark.read.parquet(f"{small}/embeddings.parquet")
+    rows.withColumn("label", F.when(F.col("vec_id") % 7 > 0, F.col("label"))).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.id for r in QUERIES["hamming_band_members"](spark, str(tmp_path)).collect()}
+    assert got == {r.vec_id for r in rows.collect() if r.vec_id % 7 > 0}

@@ -40,8 +40,8 @@ def hamming_band_join(spark, sf_dir):
     SELECT p.id, min(s.vec_id) AS class_id, p.links FROM p JOIN s ON s.h = p.h GROUP BY p.id, p.links"""
 )
 def hamming_band_members(spark, sf_dir):
-    """Every vector with the class of its hash and its links within seven bits."""
-    hashed = _signs(spark, sf_dir)
+    """Every vector that has a hash, with the class of its hash and its links within seven bits."""
+    hashed = _signs(spark, sf_dir).where("hash IS NOT NULL")
     return linked_rows(hashed, "vec_id", "hash", near_pairs(hashed, "vec_id", "hash"))
 
 
