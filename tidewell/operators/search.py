@@ -1,9 +1,9 @@
 """Ranked search over several fields with typos, for many queries at once.
 
 ``build`` writes an index to the shared folder: postings (term, field, id, tf, dl), the vocabulary with the number of rows a term
-has in each field, and for each term its deletion neighbours, by which terms within two edits of a word are found
-without comparing all. ``rank`` starts from each query's rarest word; the others are looked up by (term, id) among the
-rows found so, so a common word's postings are never gathered.
+has in each field, and for each term the keys of its thirds, by which terms within two edits of a word are found
+without comparing all. ``rank`` weighs the terms first, joins them with the postings once, and deals what is found by row: all that follows is
+added up where the row lies.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from tidewell.session import Scratch
 
 #: Words of a query that count, from which length typos are allowed, how many, and what a row with all words in one field gains.
 MOST_WORDS, FUZZY_LENGTH, EDITS, ALL_WORDS = 16, 6, 2, 3.0
-#: Deletion neighbours are kept of terms of at most so many letters; longer ones are met by an unchanged third.
-NEIGHBOUR_LENGTH = 18
+#: Rows up to which terms or words asked for are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Pairs of a row and a query that a task adds up.
+PAIRS = 1_000_000
 #: BM25.
 K1, B = 1.2, 0.75
 
@@ -44,40 +46,29 @@ class Index:
     lengths: dict[str, float]
 
 
-def _deleted(word: Column) -> Column:
-    """The word and what is left of it without one letter, its first letter kept."""
-    places = F.when(F.length(word) > 1, F.sequence(F.lit(2), F.length(word))).otherwise(F.array().cast("array<int>"))
-    return F.concat(F.array(word), F.transform(places, lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1))))
-
-
-def _thirds(word: Column, length: Column, shifts: Sequence[int]) -> Column:
-    """Keys of the three parts of a term of ``length`` letters, looked for in ``word`` at shifted places."""
-    part = F.floor(length / 3).cast("int")
-    keys = []
-    for i in range(3):
-        size = part if i < 2 else length - 2 * part
-        for s in shifts:
-            at = part * i + 1 + s
-            keys.append(F.when((at >= 1) & (at + size - 1 <= F.length(word)), F.concat_ws("|", F.lit("/"), length.cast("string"), F.lit(str(i)), F.substr(word, at, size))))
-    return F.array_compact(F.array(*keys))
-
-
 def _keys(word: Column, asking: bool) -> Column:
-    """What a term and a word within two edits of it, of the same first letter, have in common."""
-    twice = F.array_distinct(F.flatten(F.transform(_deleted(word), _deleted)))
-    n = F.length(word)
-    lengths = range(-EDITS, EDITS + 1) if asking else (0,)
-    long = F.flatten(F.array(*[F.when(n + d > NEIGHBOUR_LENGTH, _thirds(word, n + d, range(-EDITS, EDITS + 1) if asking else (0,))).otherwise(F.array().cast("array<string>")) for d in lengths]))
-    short = F.when(n <= NEIGHBOUR_LENGTH + (EDITS if asking else 0), twice).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(short, long))
+    """What a term and a word within two edits of it, of the same first letter, have in common. Two edits leave one of the three parts of the term's letters
+    after the first as it is; in the word it stands up to two places off."""
+    rest, n = F.substr(word, F.lit(2)), F.length(word) - 1
+    keys = []
+    for d in range(-EDITS, EDITS + 1) if asking else (0,):
+        length = n + d
+        for i in range(3):
+            start, end = F.floor(length * i / 3).cast("int"), F.floor(length * (i + 1) / 3).cast("int")
+            for shift in range(-EDITS, EDITS + 1) if asking else (0,):
+                at = start + shift
+                part = F.concat_ws("|", F.left(word, F.lit(1)), length.cast("string"), F.lit(str(i)), F.substr(rest, at + 1, end - start))
+                keys.append(F.when((length > 0) & (at >= 0) & (at + end - start <= n), part))
+    return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
 def build(rows: DataFrame, id_column: str, fields: dict[str, Field], scratch: Scratch) -> Index:
     """The index of ``rows``; an id is a row. Null fields have no words."""
     none = F.array().cast("array<string>")
     each = F.array(*[F.struct(F.lit(name).alias("field"), F.coalesce(f.words, none).alias("words")) for name, f in fields.items()])
-    flat = rows.select(F.col(id_column).alias("id"), F.explode(each).alias("f")).select("id", "f.field", F.size("f.words").alias("dl"), F.explode("f.words").alias("term"))
-    # Counts of a row's words need no more than the row: they are combined before the shuffle.
+    # Counts of a row's words need no more than the row: rows are dealt by id, and what comes of them stays there.
+    dealt = rows.select(F.col(id_column).alias("id"), each.alias("each")).repartition("id")
+    flat = dealt.select("id", F.explode("each").alias("f")).select("id", "f.field", F.size("f.words").alias("dl"), F.explode("f.words").alias("term"))
     postings = flat.groupBy("term", "field", "id", "dl").agg(F.count("*").alias("tf"))
     postings = scratch.put(postings, "postings")
     vocabulary = scratch.put(postings.groupBy("term", "field").agg(F.count("*").alias("df")), "vocabulary")
@@ -88,20 +79,30 @@ def build(rows: DataFrame, id_column: str, fields: dict[str, Field], scratch: Sc
     return Index(postings, vocabulary, neighbours, {n: (f.boost, f.exact) for n, f in fields.items()}, int(sizes["n"]), lengths)
 
 
-def expand(index: Index, asked: DataFrame, scratch: Scratch) -> DataFrame:
-    """(query, token, need, term, edits, factor): the terms of the vocabulary that stand for each word; ``asked``: (query, text)."""
+def asked_words(asked: DataFrame) -> DataFrame:
+    """(query, need, token): the words of each query (query, text) that count, and how many they are."""
     tokens = F.slice(F.array_distinct(words(F.col("text"))), 1, MOST_WORDS)
-    flat = asked.select("query", tokens.alias("t")).select("query", F.size("t").alias("need"), F.explode("t").alias("token"))
-    flat = scratch.put(flat, "tokens")
-    exact = flat.select("*", F.col("token").alias("term"), F.lit(0).alias("edits"))
-    loose = flat.select("token").where(F.length("token") >= FUZZY_LENGTH).distinct()
-    met = loose.select("token", F.explode(_keys(F.col("token"), True)).alias("key")).join(index.neighbours, "key").select("token", "term").distinct()
-    met = met.where("term <> token").withColumn("edits", F.levenshtein("token", "term", EDITS)).where((F.col("edits") >= 0) & (F.left("term", F.lit(1)) == F.left("token", F.lit(1))))
-    fuzzy = flat.join(met, "token").select("query", "need", "token", "term", "edits")
-    known = index.vocabulary.groupBy("term").agg(F.sum("df").alias("df"))
-    out = exact.select("query", "need", "token", "term", "edits").unionByName(fuzzy).join(known, "term")
-    factor = 1 - F.col("edits") / F.least(F.length("token"), F.length("term"))
-    return scratch.put(out.withColumn("factor", factor), "expanded")
+    return asked.select("query", tokens.alias("t")).select("query", F.size("t").alias("need"), F.explode("t").alias("token"))
+
+
+def variants(index: Index, tokens: DataFrame) -> DataFrame:
+    """(token, term, edits, factor): the terms of the vocabulary that stand for each of ``tokens`` (token, distinct)."""
+    exact = tokens.join(index.vocabulary.select(F.col("term").alias("token")).distinct(), "token", "left_semi")
+    exact = exact.select("token", F.col("token").alias("term"), F.lit(0).alias("edits"))
+    loose = tokens.select("token").where(F.length("token") >= FUZZY_LENGTH)
+    met = loose.select("token", F.explode(_keys(F.col("token"), True)).alias("key")).join(index.neighbours, "key").select("token", "term")
+    met = met.where("term <> token").distinct().withColumn("edits", F.levenshtein("token", "term", EDITS)).where("edits >= 0")
+    return exact.unionByName(met).withColumn("factor", 1 - F.col("edits") / F.least(F.length("token"), F.length("term")))
+
+
+def expand(index: Index, asked: DataFrame, scratch: Scratch) -> DataFrame:
+    """(query, need, token, term, edits, factor): the terms of the vocabulary that stand for each word; ``asked``: (query, text)."""
+    flat = scratch.put(asked_words(asked), "tokens")
+    return scratch.put(flat.join(variants(index, flat.select("token").distinct()), "token"), "expanded")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def rank(index: Index, asked: DataFrame, scratch: Scratch, share: float = 1.0, most: int = 50_000) -> DataFrame:
@@ -110,35 +111,32 @@ def rank(index: Index, asked: DataFrame, scratch: Scratch, share: float = 1.0, m
     Of a query's text the first 16 distinct words count. A row must hold at least ``share`` of them in some field: the word itself, or, for words of
     six letters or more and in fields that take typos, a word of the same first letter within two edits (insertions, deletions, changes). A word is worth
     its best field: boost x BM25 x (1 - edits / length). A row with all words, unchanged, in one field gains three times that field's sum.
-    Queries without words, or with too many unknown ones, have no rows."""
-    terms = expand(index, asked, scratch)
-    rarity = terms.groupBy("query", "token", "need").agg(F.sum("df").alias("rows"))
-    # Any row that qualifies holds one of the (need - ceil(share x need) + 1) rarest words.
-    first = Window.partitionBy("query").orderBy("rows", "token")
-    present = Window.partitionBy("query")
-    least = F.ceil(F.col("need") * share - F.lit(1e-9))
-    leading = rarity.withColumn("place", F.row_number().over(first)).withColumn("known", F.count("*").over(present))
-    leading = leading.where((F.col("known") >= least) & (F.col("place") <= F.col("known") - least + 1)).select("query", "token")
-    used = scratch.put(index.postings.join(terms.select("term").distinct(), "term", "left_semi"), "used")
-    starting = terms.join(leading, ["query", "token"]).select("query", "term")
-    rows = scratch.put(starting.join(used.select("term", "id"), "term").select("query", "id").distinct(), "candidates")
-    wanted = rows.join(terms, "query")
+    Queries without words, or with too many unknown ones, have no rows.
+
+    A row's words are told by number, whatever queries ask for them, before they meet the queries; what is shuffled grows with the postings of
+    the words asked for, not with the queries."""
+    flat = scratch.put(asked_words(asked), "tokens")
+    tokens = scratch.put(flat.select("token").distinct().withColumn("word", F.monotonically_increasing_id()), "words")
     boosts = F.create_map(*[F.lit(x) for n, (b, _) in index.fields.items() for x in (n, b)])
     lengths = F.create_map(*[F.lit(x) for n, v in index.lengths.items() for x in (n, v)])
     open_fields = [n for n, (_, exact) in index.fields.items() if not exact]
-    met = wanted.join(used, ["term", "id"]).where((F.col("edits") == 0) | F.col("field").isin(open_fields))
-    dfs = index.vocabulary.join(terms.select("term").distinct(), "term", "left_semi").select("term", "field", F.col("df").alias("fdf"))
-    met = met.join(dfs, ["term", "field"])
-    idf = F.log(1 + (index.rows - F.col("fdf") + 0.5) / (F.col("fdf") + 0.5))
+    weighed = variants(index, tokens.select("token")).join(tokens, "token").join(index.vocabulary, "term")
+    weighed = weighed.where((F.col("edits") == 0) | F.col("field").isin(open_fields))
+    idf = F.log(1 + (index.rows - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.element_at(boosts, F.col("field")) * F.col("factor") * idf
+    weighed = scratch.put(weighed.select("term", "field", "word", (F.col("edits") == 0).alias("exact"), weight.alias("weight")), "weighed")
     norm = K1 * (1 - B + B * F.col("dl") / F.element_at(lengths, F.col("field")))
-    worth = F.element_at(boosts, F.col("field")) * F.col("factor") * idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + norm))
-    scored = met.select("query", "id", "need", "token", "field", "edits", worth.alias("worth"))
-    by_field = scored.groupBy("query", "id", "need", "token", "field").agg(F.max("worth").alias("best"), F.max(F.when(F.col("edits") == 0, F.col("worth"))).alias("exact"))
-    by_field = scratch.put(by_field, "scored")
-    by_word = by_field.groupBy("query", "id", "need", "token").agg(F.max("best").alias("best")).groupBy("query", "id", "need").agg(F.count("*").alias("n"), F.sum("best").alias("sum"))
-    whole = by_field.where("exact IS NOT NULL").groupBy("query", "id", "need", "field").agg(F.count("*").alias("n"), F.sum("exact").alias("sum")).where("n = need")
-    whole = whole.groupBy("query", "id").agg(F.max("sum").alias("bonus"))
-    found = by_word.where(F.col("n") >= least).join(whole, ["query", "id"], "left").select("query", "id", (F.col("sum") + ALL_WORDS * F.coalesce("bonus", F.lit(0.0))).alias("score"))
-    rounded = F.floor(F.col("score") * 10000 + 0.5) / 10000
+    worth = F.col("weight") * (F.col("tf") * (K1 + 1) / (F.col("tf") + norm))
+    met = index.postings.join(_small(weighed), ["term", "field"]).select("id", "word", "field", "exact", worth.alias("worth"))
+    queries = flat.select("query").distinct().count()
+    parts = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), -(-index.rows * queries // PAIRS))
+    whole = [F.max(F.when(F.col("exact") & (F.col("field") == n), F.col("worth"))).alias(f"whole{i}") for i, n in enumerate(index.fields)]
+    by_word = met.repartition(parts, "id").groupBy("id", "word").agg(F.max("worth").alias("best"), *whole)
+    wanted = scratch.put(flat.join(tokens, "token").select("query", "need", "word"), "wanted")
+    sums = [x for i in range(len(whole)) for x in (F.count(f"whole{i}").alias(f"n{i}"), F.sum(f"whole{i}").alias(f"sum{i}"))]
+    found = by_word.join(_small(wanted), "word").groupBy("id", "query", "need").agg(F.count("*").alias("n"), F.sum("best").alias("sum"), *sums)
+    bonus = F.greatest(F.lit(0.0), *[F.when(F.col(f"n{i}") == F.col("need"), F.col(f"sum{i}")) for i in range(len(whole))])
+    found = found.where(F.col("n") >= F.ceil(F.col("need") * share - F.lit(1e-9)))
+    score = F.floor((F.col("sum") + ALL_WORDS * bonus) * 10000 + 0.5) / 10000
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return found.withColumn("score", rounded).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query", "rank", "id", "score")
+    return found.select("query", "id", score.alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query", "rank", "id", "score")
