@@ -25,3 +25,18 @@ def test_a_vector_without_label_has_no_links(spark, small, tmp_path):
     rows.withColumn("label", F.when(F.col("vec_id") % 7 > 0, F.col("label"))).write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.id for r in QUERIES["hamming_band_members"](spark, str(tmp_path)).collect()}
     assert got == {r.vec_id for r in rows.collect() if r.vec_id % 7 > 0}
+
+
+def test_ranking_writes_no_row_for_each_query_and_document(spark):
+    from tidewell.functions.text import words
+    from tidewell.operators import search
+    from tidewell.session import Scratch
+
+    scratch = Scratch(spark)
+    docs = spark.createDataFrame([(i, f"apartment balcony w{i % 3}" if i % 2 else "apartmant street") for i in range(40)], "id long, body string")
+    made = search.build(docs, "id", {"body": search.Field(words(F.col("body")), 2.0)}, scratch)
+    asked = spark.createDataFrame([(q, "apartment balcony") for q in range(60)], "query long, text string")
+    got = {(r.query, r.id) for r in search.rank(made, asked, scratch, 0.5).collect()}
+    assert got == {(q, i) for q in range(60) for i in range(40)}
+    assert max(table.count() for table, _ in scratch.tables) <= 60 * 2  # as many as the words of the queries, not 60 x 40
+    scratch.clear()
