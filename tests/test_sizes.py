@@ -40,3 +40,38 @@ def test_ranking_writes_no_row_for_each_query_and_document(spark):
     assert got == {(q, i) for q in range(60) for i in range(40)}
     assert max(table.count() for table, _ in scratch.tables) <= 60 * 2  # as many as the words of the queries, not 60 x 40
     scratch.clear()
+
+
+def test_market_comparison_leaves_out_the_own_key(spark):
+    from tidewell.operators.scores import market_comparison
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [None, "a", "b"][i % 3], f"k{rng.integers(0, 40)}", float(rng.integers(50, 70)), float(rng.integers(0, 60)) + 0.5 * (i % 2), int(rng.integers(0, 9))) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, seg string, key string, p double, area double, created_at int")
+    got = {r.id: (r.comparables, r.median) for r in market_comparison(df, ["seg"], "key", "p", "area").collect()}
+    one = {}
+    for r in sorted(rows, key=lambda r: (r[5], r[0])):
+        one[r[1], r[2]] = r
+    want = {}
+    for i, seg, key, _, area, _ in rows:
+        near = [c[3] for (s, k), c in one.items() if s == seg and seg and k != key and abs(area - c[4]) <= max(5, area * 0.15)]
+        if len(near) >= 3:
+            want[i] = (len(near), float(np.median(near)))
+    assert got == want and len(want) > 100
+
+
+def test_windows_take_values_of_their_own_beside_shared_points(spark):
+    from tidewell.operators.market import window_medians
+    from tidewell.session import Scratch
+
+    rng = np.random.default_rng(4)
+    points = [("s", float(x) / 2, float(v)) for x, v in zip(rng.integers(0, 200, 300), rng.integers(1, 900, 300))]
+    windows = [("s", float(w), w - 7.5, w + 7.5) for w in range(0, 110, 3)] + [("t", 1.0, 0.0, 2.0)]
+    own = [("s", float(w), float(v)) for w in range(0, 60, 3) for v in rng.integers(1, 2000, w % 5)] + [("t", 1.0, 4.0)]
+    made = [spark.createDataFrame(points, "seg string, x double, v double").withColumn("c", F.lit(1).cast("long")),
+            spark.createDataFrame(windows, "seg string, w double, lo double, hi double"), spark.createDataFrame(own, "seg string, w double, v double")]
+    scratch = Scratch(spark)
+    got = {(r.seg, r.w): (r.n, r.median) for r in window_medians(made[0], made[1], ["seg"], scratch, made[2]).collect()}
+    all_of = {(s, w): [v for t, x, v in points if t == s and lo <= x <= hi] + [v for t, u, v in own if (t, u) == (s, w)] for s, w, lo, hi in windows}
+    assert got == {k: (len(v), float(np.median(v))) for k, v in all_of.items() if v}
+    scratch.clear()

@@ -6,7 +6,7 @@ areas within max(5, 15 %) of its own: a median over a window of sorted areas, fo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,33 +19,49 @@ LEAST, REACH, SHARE = 3, 5.0, 0.15
 CELL = 5.0
 
 
-def window_medians(points: DataFrame, windows: DataFrame, segment: Sequence[str], scratch: Scratch) -> DataFrame:
-    """(segment, w, n, median) of the values ``v`` of ``points`` (segment, x, v, c: how often) with x between ``lo`` and ``hi`` of
-    each row of ``windows`` (segment, w, lo, hi). A window adds up counts by price bucket of the whole cells inside
-    it and of the places in its two outer cells; then only the values of one or two buckets are sorted. Windows without a point are missing."""
+def window_values(points: DataFrame, windows: DataFrame, segment: Sequence[str], ranks: Column, scratch: Scratch, inside: Callable[[Column], Column] | None = None, own: DataFrame | None = None) -> DataFrame:
+    """(segment, w, n, rank, v): the values at ``ranks`` (an array made of ``n``, from 0) among the ``n`` values ``v`` of ``points`` (segment, x, v, c: how
+    often) with x between ``lo`` and ``hi`` of each row of ``windows`` (segment, w, lo, hi), or ``inside`` it, and those that ``own`` (segment, w, v)
+    adds to a window. A window adds up counts by price bucket of the whole cells inside it and of the places in its outer cells; then only
+    the values of a few buckets are sorted. Windows without a value are missing."""
     seg = list(segment)
+    group = [*seg, "w"]
+    inside = inside or (lambda x: x.between(F.col("lo"), F.col("hi")))
     cell = lambda x: F.floor(x / CELL)
     points = points.select(*seg, "x", "v", "c", cell(F.col("x")).alias("cell"), bucket(F.col("v")).alias("b"))
     by_cell = points.groupBy(*seg, "cell", "b").agg(F.sum("c").alias("c"))
     by_place = points.groupBy(*seg, "cell", "x", "b").agg(F.sum("c").alias("c"))
-    low, high = cell(F.col("lo")), cell(F.col("hi"))
-    inner = windows.where(high - low > 1).select(*seg, "w", F.explode(F.sequence(low + 1, high - 1)).alias("cell"))
-    outer = windows.select(*seg, "w", "lo", "hi", F.explode(F.array_distinct(F.array(low, high))).alias("cell"))
-    whole = inner.join(by_cell, [*seg, "cell"]).select(*seg, "w", "b", "c")
-    edges = outer.join(by_place, [*seg, "cell"]).where("x BETWEEN lo AND hi").select(*seg, "w", "b", "c")
-    counts = whole.unionByName(edges).groupBy(*seg, "w", "b").agg(F.sum("c").alias("c"))
-    group = [*seg, "w"]
+    # A cell counts as a whole if both its ends are inside.
+    reached = windows.withColumn("cell", F.explode(F.sequence(cell(F.col("lo") - CELL * 1e-6), cell(F.col("hi") + CELL * 1e-6))))
+    reached = reached.withColumn("whole", inside(F.col("cell") * CELL) & inside((F.col("cell") + 1) * CELL))
+    whole = reached.where("whole").select(*group, "cell").join(by_cell, [*seg, "cell"]).select(*group, "b", "c")
+    edges = reached.where("NOT whole").join(by_place, [*seg, "cell"]).where(inside(F.col("x"))).select(*group, "b", "c")
+    counts = whole.unionByName(edges)
+    if own is not None:
+        own = own.select(*group, "v", bucket(F.col("v")).alias("b"), F.lit(1).cast("long").alias("c"))
+        counts = counts.unionByName(own.select(*group, "b", "c"))
+    counts = counts.groupBy(*group, "b").agg(F.sum("c").alias("c"))
     counts = holding(counts, group, "b").withColumn("n", F.sum("c").over(Window.partitionBy(*group)))
-    middle = F.array(F.struct(F.lit(0).alias("i"), F.floor((F.col("n") - 1) / 2).alias("rank")), F.struct(F.lit(1).alias("i"), F.ceil((F.col("n") - 1) / 2).alias("rank")))
-    inside = lambda r: (r["rank"] >= F.col("before")) & (r["rank"] < F.col("before") + F.col("c"))
-    found = counts.select(*group, "n", "b", "before", F.explode(F.filter(middle, inside)).alias("r"))
-    found = found.select(*group, "n", "b", F.col("r.i").alias("i"), (F.col("r.rank") - F.col("before")).alias("rank"))
-    found = scratch.put(found.join(windows, group), "medians")
+    held = lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("c"))
+    found = counts.withColumn("ranks", F.filter(F.array_distinct(ranks), held)).where(F.size("ranks") > 0).select(*group, "n", "b", "before", "ranks")
+    found = scratch.put(found.join(windows, group), "buckets")
     values = points.groupBy(*seg, "b", "x", "v").agg(F.sum("c").alias("c"))
-    met = found.join(values, [*seg, "b"]).where("x BETWEEN lo AND hi").groupBy(*group, "n", "i", "rank", "v").agg(F.sum("c").alias("c"))
-    at = holding(met, [*group, "n", "i", "rank"], "v").where("rank >= before AND rank < before + c")
-    ends = at.groupBy(*group, "n").agg(F.max(F.when(F.col("i") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("i") == 1, F.col("v"))).alias("z"))
-    return ends.select(*group, "n", (F.col("a") * 0.5 + F.col("z") * 0.5).alias("median"))
+    met = found.join(values, [*seg, "b"]).where(inside(F.col("x"))).select(*group, "n", "b", "before", "ranks", "v", "c")
+    if own is not None:
+        met = met.unionByName(found.select(*group, "n", "b", "before", "ranks").join(own, [*group, "b"]).select(*group, "n", "b", "before", "ranks", "v", "c"))
+    met = met.groupBy(*group, "n", "b", "before", "ranks", "v").agg(F.sum("c").alias("c"))
+    below = F.coalesce(F.sum("c").over(Window.partitionBy(*group, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = met.withColumn("before", F.col("before") + below)
+    return at.select(*group, "n", F.explode(F.filter("ranks", held)).alias("rank"), "v")
+
+
+def window_medians(points: DataFrame, windows: DataFrame, segment: Sequence[str], scratch: Scratch, own: DataFrame | None = None) -> DataFrame:
+    """(segment, w, n, median) of the values of each window, see ``window_values``."""
+    low, high = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)
+    at = window_values(points, windows, segment, F.array(low, high), scratch, own=own)
+    value = lambda r: F.max(F.when(F.col("rank") == r, F.col("v")))
+    ends = at.groupBy(*segment, "w", "n").agg(value(low).alias("a"), value(high).alias("z"))
+    return ends.select(*segment, "w", "n", (F.col("a") * 0.5 + F.col("z") * 0.5).alias("median"))
 
 
 def compare(rows: DataFrame, scratch: Scratch, fresh: Column) -> DataFrame:
@@ -86,18 +102,9 @@ def compare(rows: DataFrame, scratch: Scratch, fresh: Column) -> DataFrame:
     cells = F.sequence(F.floor(F.col("lo") / CELL), F.floor(F.col("hi") / CELL))
     met = wide.withColumn("cell", F.explode(cells)).join(several.withColumn("cell", F.floor(F.col("area") / CELL)), [*seg, "cell"]).where("area BETWEEN lo AND hi")
     chosen = met.withColumn("rn", F.row_number().over(newest(*seg, "w", "dkey"))).where("rn = 1")
-    # Such a choice belongs to one window alone: the window is part of its segment.
-    alone = [*seg, "own"]
-    shared = plain.withColumn("own", F.lit(None).cast("double")).unionByName(chosen.select(*seg, F.col("area").alias("x"), F.col("usd").alias("v"), F.lit(1).cast("long").alias("c"), F.col("w").alias("own")))
-    multi = chosen.select(*seg, "w").distinct().withColumn("own", F.col("w"))
-    touched = scratch.put(wide.join(multi, [*seg, "w"], "left"), "touched")
-    easy = window_medians(shared.where("own IS NULL").drop("own"), touched.where("own IS NULL").drop("own"), seg, scratch)
-    # Windows with such choices get a copy of the plain points they reach.
-    hard = touched.where("own IS NOT NULL")
-    reached = hard.withColumn("cell", F.explode(cells)).join(plain.withColumn("cell", F.floor(F.col("x") / CELL)), [*seg, "cell"]).where("x BETWEEN lo AND hi")
-    reached = reached.groupBy(*alone, "x", "v").agg(F.sum("c").alias("c")).unionByName(shared.where("own IS NOT NULL").select(*alone, "x", "v", "c"))
-    difficult = window_medians(reached, hard, alone, scratch).select(*seg, "w", "n", "median")
-    by_area = easy.unionByName(difficult)
+    # Such a choice belongs to one window alone, beside the points that all windows share.
+    own = scratch.put(chosen.select(*seg, "w", F.col("usd").alias("v")), "chosen")
+    by_area = window_medians(plain, wide, seg, scratch, own)
     sizeable = asking.where("rooms IS NULL").withColumn("w", F.col("area")).join(by_area, [*seg, "w"], "left").select("id", F.lit("area").alias("segment_kind"), "usd", "n", "median")
     out = roomy.unionByName(sizeable)
     enough = F.coalesce("n", F.lit(0)) >= LEAST
