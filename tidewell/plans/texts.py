@@ -180,23 +180,10 @@ _HAV = "2 * 6371000.0::DOUBLE * asin(least(1.0, sqrt(pow(sin((radians(b.lat) - r
     FROM p a JOIN p b ON a.point <> b.point AND {_HAV} <= 4000) WHERE rn <= 3"""
 )
 def nearest_k_per_kind(spark, sf_dir):
-    """The three nearest places of each kind within four kilometres: points and places meet in
-    the cells of a grid no finer than the radius."""
+    """The three nearest places of each kind within four kilometres: points and places meet in the cells of grids, the finest first."""
     from tidewell.operators.scores import nearest_per_kind
 
-    p = points(spark, sf_dir)
-    lat_cell, lng_cell = 0.04, 0.06
-    cell = lambda c, size: F.floor(F.col(c) / size)
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    asked = p.select("point", "lat", "lng", around.alias("o"))
-    asked = asked.select("point", "lat", "lng", (cell("lat", lat_cell) + F.col("o.i")).alias("ci"), (cell("lng", lng_cell) + F.col("o.j")).alias("cj"))
-    places = p.select(
-        F.col("point").alias("place"), F.col("lat").alias("plat"), F.col("lng").alias("plng"), "kind",
-        cell("lat", lat_cell).alias("pi"), cell("lng", lng_cell).alias("pj"),
-    )
-    d = geo.haversine(F.col("lat"), F.col("lng"), F.col("plat"), F.col("plng"))
-    on = (F.col("ci") == F.col("pi")) & (F.col("cj") == F.col("pj")) & (F.col("point") != F.col("place"))
-    out = nearest_per_kind(asked, places, d, 3, on & (d <= 4000))
+    out = nearest_per_kind(points(spark, sf_dir), 3, 4000.0)
     return out.select("point", "kind", "place", F.col("rn").alias("place_rank"))
 
 
