@@ -75,3 +75,50 @@ def test_windows_take_values_of_their_own_beside_shared_points(spark):
     all_of = {(s, w): [v for t, x, v in points if t == s and lo <= x <= hi] + [v for t, u, v in own if (t, u) == (s, w)] for s, w, lo, hi in windows}
     assert got == {k: (len(v), float(np.median(v))) for k, v in all_of.items() if v}
     scratch.clear()
+
+
+def test_nearest_of_each_kind_in_crowds_and_at_poles(spark):
+    from tidewell.operators.scores import nearest_per_kind
+
+    rng = np.random.default_rng(6)
+    rows = [(i, 60 + float(rng.normal(0, 0.01)), 5 + float(rng.normal(0, 0.02)), "abc"[i % 3]) for i in range(300)]
+    rows += [(1000 + i, 60.0, 5.0, "a") for i in range(40)] + [(2000, 60.02, 5.03, "rare"), (2001, 60.021, 5.03, "rare")]
+    rows += [(3000, 89.99, 0.0, "a"), (3001, 89.99, 180.0, "a"), (3002, 10.0, 179.99, "a"), (3003, 10.0, -179.99, "b"), (3004, None, 1.0, "a")]
+    df = spark.createDataFrame(rows, "point long, lat double, lng double, kind string")
+    got = sorted((r.point, r.kind, r.rn, r.place) for r in nearest_per_kind(df, 3, 4000.0).collect())
+
+    def way(p, q):
+        (a, b), (c, d) = np.radians(p[1:3]), np.radians(q[1:3])
+        return 2 * 6371000 * np.arcsin(np.sqrt(np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2))
+
+    want = []
+    for p in rows[:-1]:
+        for kind in ("a", "b", "c", "rare"):
+            near = sorted((w, q[0]) for q in rows[:-1] if q[3] == kind and q[0] != p[0] and (w := way(p, q)) <= 4000)
+            want += [(p[0], kind, i + 1, q) for i, (_, q) in enumerate(near[:3])]
+    assert got == sorted(want)
+
+
+def test_records_of_several_holders_and_contacts_come_once(spark):
+    from tidewell.operators import privacy
+    from tidewell.session import Scratch
+
+    rng = np.random.default_rng(7)
+    contacts = [(c, "mail" if c % 2 else "phone", str(c // 2)) for c in range(20)]
+    links = [(int(a), int(c)) for a, c in zip(rng.integers(0, 30, 70), rng.integers(0, 20, 70))]
+    held = [(int(a), "identity" if i % 2 else "evidence", int(i)) for a, i in zip(rng.integers(0, 30, 120), rng.integers(0, 80, 120))]
+    asked = [(int(r), "mail" if k else "phone", str(v)) for r, k, v in zip(rng.integers(0, 25, 60), rng.integers(0, 2, 60), rng.integers(0, 14, 60))]
+    scratch = Scratch(spark)
+    frames = [spark.createDataFrame(x, s) for x, s in ((asked, "request int, type string, value string"), (contacts, "contact long, type string, value string"), (links, "actor long, contact long"), (held, "actor long, kind string, id long"))]
+    got = sorted(privacy.subject_records(*frames, scratch).collect(), key=str)
+    want = set()
+    for r in {x[0] for x in asked}:
+        own = {c: f"{t}:{v}" for c, t, v in contacts if (r, t, v) in set(asked)}
+        actors = {a for a, c in links if c in own}
+        want |= {(r, "contact", c, v) for c, v in own.items()} | {(r, "actor", a, None) for a in actors} | {(r, k, i, None) for a, k, i in held if a in actors}
+        want |= {(r, "contact", c, None) for a, c in links if a in actors and c not in own}
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    # What is written is what contacts lead to, not the answers: more requests write no more.
+    written = {p.split("-")[1]: t.count() for t, p in [(t, p.rsplit("/", 1)[1]) for t, p in scratch.tables]}
+    assert "reached" not in written and len(want) > 300
+    scratch.clear()
