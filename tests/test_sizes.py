@@ -122,3 +122,22 @@ def test_records_of_several_holders_and_contacts_come_once(spark):
     written = {p.split("-")[1]: t.count() for t, p in [(t, p.rsplit("/", 1)[1]) for t, p in scratch.tables]}
     assert "reached" not in written and len(want) > 300
     scratch.clear()
+
+
+def test_lines_within_the_radius_are_linked_whatever_bits_differ(spark):
+    from tests.llm.test_lines import alike, check, simhash
+    from tidewell.llm import lines
+
+    rng = np.random.default_rng(9)
+    few = [m & (2**64 - 1) for m in lines.block_masks(5, 1)]
+    docs = []
+    while len(docs) < 40:
+        words = [f"word{x}" for x in rng.integers(0, 10**6, 20)]
+        other = [w if i not in (3, 11) else f"else{rng.integers(0, 10**6)}" for i, w in enumerate(words)]
+        differ = simhash(" ".join(words)) ^ simhash(" ".join(other))
+        if differ.bit_count() <= lines.RADIUS and all(differ & m for m in few) and alike(" ".join(words), " ".join(other)):
+            docs += [(len(docs), " ".join(words)), (len(docs) + 1, " ".join(other))]
+    assert len(check(spark, docs)) == 20
+    for _ in range(2000):
+        differ = sum(1 << int(b) for b in rng.choice(64, lines.RADIUS, replace=False))
+        assert any(differ & m & (2**64 - 1) == 0 for m in lines.block_masks())
